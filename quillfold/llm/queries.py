@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.language_id import language_id
 from quillfold.llm.ngram_join import ngram_jaccard
+from quillfold.llm.scratch import Scratch
 from quillfold.llm.substring_dedup import substring_dedup
+from quillfold.llm.url_filter import BLOCKED_DOMAINS, BLOCKED_NAMES, judge_urls
+from quillfold.llm.warc import read_headers, verify, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +44,57 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark, _table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
+    path = Scratch(spark).root
+    write_archive(spark, pages, path)
+    stored = verify(spark, path).where("sound")
+    return read_headers(spark, path).join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op4_chat_format": op4_chat_format,
+    "op6_url_filter": op6_url_filter,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_warc_archive": op10_warc_archive,
 }
 
-ORACLES: dict[str, str] = {}
+_SITES = ", ".join(f"('{n}.{d}')" for n in BLOCKED_NAMES for d in BLOCKED_DOMAINS)
+
+OP6_SQL = f"""
+WITH p AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM p),
+b AS (SELECT * FROM (VALUES {_SITES}) AS t(site)),
+l AS (
+  SELECT r.*, CASE WHEN rule IS NULL THEN
+    (SELECT max(site) FROM b WHERE regexp_replace(r.host, '(:(80|443))?$', '') = site OR ends_with(regexp_replace(r.host, '(:(80|443))?$', ''), '.' || site)) END AS listed_url
+  FROM r)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN listed_url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, listed_url
+FROM l
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+}
