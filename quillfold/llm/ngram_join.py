@@ -44,9 +44,9 @@ LONG_FROM = 48
 #: Members of one short list that are still paired with each other.
 PAIRED = 64
 #: Shingles in a block chunk: what one task holds at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Shingles counted together before a map task reports repeated ones.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 _FACTS = "kind int, a long, b long, n long"
 _POSTED = "bucket int, kind int, a binary, b binary, n binary"

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are hashed in slices of about this many bytes, one text at least: that bounds memory.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
