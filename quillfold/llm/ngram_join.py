@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillfold.llm import words as W
 from quillfold.llm.components import connected_components
-from quillfold.llm.scratch import BROADCAST_BYTES, Scratch, partitions
+from quillfold.llm.scratch import Scratch, partitions
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
@@ -393,9 +393,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id", "sig", "copies", "block", "chunk", "coalesce(meets, array(struct(chunk AS i, chunk AS j))) AS meets"
     )
     blocked = scratch.table(blocked)
-    held = blocked.count() * 80
-    small = F.broadcast(blocked) if held <= BROADCAST_BYTES else blocked
-    texts = docs.join(small, "doc_id").select("text", "sig", "copies", "block", "chunk", "meets")
+    texts = docs.join(blocked, "doc_id").select("text", "sig", "copies", "block", "chunk", "meets")
     sets = texts.mapInArrow(_sets_of, "sig long, copies long, block long, chunk int, meets array<struct<i:int,j:int>>, tokens binary")
     sets = sets.select("block", F.explode("meets").alias("p"), "chunk", "sig", "copies", "tokens").selectExpr("block", "p.i AS i", "p.j AS j", "chunk", "sig", "copies", "tokens")
     found = sets.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_blocks, _FOUND)
