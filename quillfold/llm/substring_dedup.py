@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfold.llm import words as W
-from quillfold.llm.scratch import BROADCAST_BYTES, Scratch, partitions
+from quillfold.llm.scratch import Scratch, partitions
 
 #: Length of a window in words, and the levels that lead to it.
 WINDOW = 35
@@ -36,7 +36,8 @@ HALF = (WINDOW + 1) // 2
 QUARTER = HALF // 2
 
 _LEVEL = "kind int, bucket int, doc long, sig long, n long, a binary, b binary, c binary"
-_BACK = "doc long, at binary"
+_BACK = "bucket int, b binary, c binary"
+_LIVE = "doc long, at binary"
 _FIELDS = [c.split()[0] for c in _LEVEL.split(", ")]
 
 
@@ -90,7 +91,7 @@ def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> l
     key, doc, at = key[o], doc[o], at[o]
     same = key[1:] == key[:-1]
     twice = np.r_[False, same] | np.r_[same, False]
-    rows = _by_doc(2, doc[twice], at[twice])
+    rows = _owned(doc[twice], at[twice], buckets)
     one = np.r_[True, ~same]
     key, doc, at = key[one], doc[one], at[one] | (twice[one].astype(np.uint32) << np.uint32(31))
     bucket = (key >> W.U(20)) % W.U(buckets)
@@ -102,34 +103,57 @@ def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> l
     return rows
 
 
-def _by_doc(kind: int, doc: np.ndarray, at: np.ndarray) -> list[tuple]:
+def _owned(doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple]:
+    """What repeats, packed by the bucket of its document."""
     if not len(doc):
         return []
-    o = np.lexsort((at, doc))
-    doc, at = doc[o], at[o]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    return [_row(kind, doc=int(doc[i]), c=at[i:j].tobytes()) for i, j in zip(cut.tolist(), np.r_[cut[1:], len(doc)].tolist(), strict=True)]
+    owner = W.mix(doc.view(W.U)) % W.U(buckets)
+    o = np.argsort(owner, kind="stable")
+    doc, at, owner = doc[o], at[o], owner[o]
+    cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return [_row(2, int(owner[i]), b=doc[i:j].tobytes(), c=at[i:j].tobytes()) for i, j in zip(cut.tolist(), np.r_[cut[1:], len(owner)].tolist(), strict=True)]
+
+
+def _compare(buckets: int):
+    """Reduce side of a level: what repeats across slices."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, ats = [], [], []
+        for batch in batches:
+            for a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                keys.append(np.frombuffer(a, W.U)), docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
+        if not keys:
+            return
+        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
+        keys.clear(), docs.clear(), ats.clear()
+        o = np.argsort(key)
+        key, doc, at = key[o], doc[o], at[o]
+        same = key[1:] == key[:-1]
+        known = at >> np.uint32(31) == 1
+        keep = (np.r_[False, same] | np.r_[same, False]) & ~known  # known ones were settled where they lie
+        rows = _owned(doc[keep], at[keep], buckets)
+        if rows:
+            yield _rows(rows).select(["bucket", "b", "c"])
+
+    return run
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side of a level: what repeats, by document."""
-    keys, docs, ats = [], [], []
+
+def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All that repeats in each document of one partition's buckets."""
+    docs, ats = [], []
     for batch in batches:
-        for a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            keys.append(np.frombuffer(a, W.U)), docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
-    if not keys:
+        for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
+    if not docs:
         return
-    key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-    keys.clear(), docs.clear(), ats.clear()
-    o = np.argsort(key)
-    key, doc, at = key[o], doc[o], at[o]
-    same = key[1:] == key[:-1]
-    known = at >> np.uint32(31) == 1
-    keep = (np.r_[False, same] | np.r_[same, False]) & ~known  # known ones were settled where they lie
-    rows = _by_doc(2, doc[keep], at[keep])
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in part], pa.int64()), pa.array([r[7] for r in part], pa.binary())], names=["doc", "at"])
+    doc, at = np.concatenate(docs), np.concatenate(ats) & np.uint32(0x7FFFFFFF)
+    o = np.argsort(doc, kind="stable")
+    doc, at = doc[o], at[o]
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    span = list(zip(cut.tolist(), np.r_[cut[1:], len(doc)].tolist(), strict=True))
+    for i in range(0, len(span), 2000):
+        part = span[i : i + 2000]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[[x for x, _ in part]]), pa.array([at[x:y].tobytes() for x, y in part], pa.binary())], names=["doc", "at"])
 
 
 def _first_level(buckets: int):
@@ -157,8 +181,8 @@ def _first_level(buckets: int):
     return run
 
 
-def _marks(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint32) & np.uint32(0x7FFFFFFF) if blobs else np.zeros(0, np.uint32)
+def _marks(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob, np.uint32) if blob else np.zeros(0, np.uint32)
 
 
 def _next_level(buckets: int, candidates: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
@@ -239,10 +263,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _join(docs: DataFrame, state: DataFrame, size: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(state) if size <= BROADCAST_BYTES else state, "doc", how)
-
-
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text), a row each."""
     scratch = Scratch(spark)
@@ -253,36 +273,33 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
         texts = scratch.table(texts.withColumnRenamed("doc", "doc_id").withColumn("doc", F.monotonically_increasing_id()))
     read = texts.select("doc", "text")
     words = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(partitions(spark), words // 60_000_000 + 1)
+    parts = max(partitions(spark), words // 24_000_000 + 1)
     buckets = 8 * parts
 
-    def survivors(level: DataFrame) -> tuple[DataFrame, int, str]:
+    def survivors(level: DataFrame) -> tuple[DataFrame, str]:
         posted = level.where("kind = 1").select("bucket", "a", "b", "c")
-        back = posted.repartition(parts, "bucket").mapInArrow(_compare, _BACK)
-        settled = level.where("kind = 2").select("doc", F.col("c").alias("at"))
-        got, path = scratch.write(back.unionByName(settled).groupBy("doc").agg(F.collect_list("at").alias("at")))
-        size = got.agg(F.sum(F.expr("80 + aggregate(at, 0L, (s, x) -> s + 24 + length(x))"))).first()[0] or 0
-        return got, size, path
+        back = posted.repartition(parts, "bucket").mapInArrow(_compare(buckets), _BACK)
+        settled = level.where("kind = 2").select("bucket", "b", "c")
+        return scratch.write(back.unionByName(settled).repartition(parts, "bucket").mapInArrow(_regroup, _LIVE))
 
     first, path = scratch.write(read.mapInArrow(_first_level(buckets), _LEVEL), "kind")
     facts = scratch.table(first.where("kind = 0").select("doc", "sig", "n"))
     classes = facts.where(f"n >= {WINDOW}").groupBy("sig").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
     # all copies of a text go whole; the other windows of the corpus still meet one of them
-    lead = scratch.table(classes.select("doc", (F.col("copies") > 1).alias("copied")))
-    live, size, old = survivors(first)
+    lead = scratch.table(classes.select("doc"))
+    live, old = survivors(first)
     scratch.drop(path)
     for candidates in (_halves, _wholes):
-        joined = _join(read, live.join(lead.select("doc"), "doc"), size, "inner").select("doc", "text", "at")
+        joined = read.join(live.join(lead, "doc"), "doc").select("doc", "text", "at")
         level, path = scratch.write(joined.mapInArrow(_next_level(buckets, candidates), _LEVEL), "kind")
         scratch.drop(old)
-        live, size, old = survivors(level)
+        live, old = survivors(level)
         scratch.drop(path)
     copied = facts.join(classes.where("copies > 1").select("sig"), "sig").select("doc", F.lit(True).alias("copied"))
     state = copied.join(live, "doc", "full").select("doc", F.coalesce("copied", F.lit(False)).alias("copied"), "at")
     state = state.withColumn("at", F.when(~F.col("copied"), F.col("at")))
     state = scratch.table(state)
-    size += state.count() * 80
-    out = _join(read, state, size, "left").select("doc", "text", "copied", "at")
+    out = read.join(state, "doc", "left").select("doc", "text", "copied", "at")
     out = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     if own:
         return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
