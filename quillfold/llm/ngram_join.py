@@ -42,11 +42,11 @@ LONG_LISTS = 1 << 17
 #: A list counts as long from this many documents, as far as they repeat within one slice group.
 LONG_FROM = 48
 #: Members of one short list that are still paired with each other.
-PAIRED = 64
+PAIRED = 256
 #: Shingles in a block chunk: what one task holds at a time.
 CHUNK = 1_000_000
 #: Shingles counted together before a map task reports repeated ones.
-GROUP = 1_000_000
+GROUP = 4_000_000
 
 _FACTS = "kind int, a long, b long, n long"
 _POSTED = "bucket int, kind int, a binary, b binary, n binary"
@@ -88,7 +88,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def repeated() -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(pool), return_counts=True)
         pool.clear()
-        u, c = u[c > 2], c[c > 2]
+        u, c = u[c > 1], c[c > 1]
         return _batch(_FACTS, np.full(len(u), 1, np.int32), W.signed(u), np.zeros(len(u), np.int64), c.astype(np.int64))
 
     for batch in batches:
