@@ -91,7 +91,7 @@ def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> l
     key, doc, at = key[o], doc[o], at[o]
     same = key[1:] == key[:-1]
     twice = np.r_[False, same] | np.r_[same, False]
-    rows = _owned(doc[twice], at[twice], buckets)
+    rows = _owned(doc[twice], at[twice], buckets // 2)
     one = np.r_[True, ~same]
     key, doc, at = key[one], doc[one], at[one] | (twice[one].astype(np.uint32) << np.uint32(31))
     bucket = (key >> W.U(20)) % W.U(buckets)
@@ -103,11 +103,11 @@ def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> l
     return rows
 
 
-def _owned(doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple]:
-    """What repeats, packed by the bucket of its document."""
+def _owned(doc: np.ndarray, at: np.ndarray, owners: int) -> list[tuple]:
+    """What repeats, packed by the partition that owns its document."""
     if not len(doc):
         return []
-    owner = W.mix(doc.view(W.U)) % W.U(buckets)
+    owner = W.mix(doc.view(W.U)) % W.U(owners)
     o = np.argsort(owner, kind="stable")
     doc, at, owner = doc[o], at[o], owner[o]
     cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -131,7 +131,7 @@ def _compare(buckets: int):
         same = key[1:] == key[:-1]
         known = at >> np.uint32(31) == 1
         keep = (np.r_[False, same] | np.r_[same, False]) & ~known  # known ones were settled where they lie
-        rows = _owned(doc[keep], at[keep], buckets)
+        rows = _owned(doc[keep], at[keep], buckets // 2)
         if rows:
             yield _rows(rows).select(["bucket", "b", "c"])
 
@@ -274,7 +274,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     read = texts.select("doc", "text")
     words = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(partitions(spark), words // 24_000_000 + 1)
-    buckets = 8 * parts
+    buckets = 2 * parts
 
     def survivors(level: DataFrame) -> tuple[DataFrame, str]:
         posted = level.where("kind = 1").select("bucket", "a", "b", "c")
