@@ -7,7 +7,6 @@ branch of a CASE. A row never fails the job: its error is a column.
 
 from __future__ import annotations
 
-import functools
 import math
 import time
 from collections.abc import Callable, Iterator
@@ -156,6 +155,17 @@ EXTRACTED = (
 )
 
 
+_BUILT: dict[tuple[str, str], Extractor] = {}
+
+
+def _built(make: Callable[[], Extractor]) -> Extractor:
+    """The extractor of this Python worker: models load once."""
+    key = (make.__module__, make.__qualname__)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def extract(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     """Extraction results of files (path, content). make() builds the extractor in each worker, once."""
 
@@ -185,11 +195,9 @@ def extract(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
             "raw_job_number": job or "failed",
         }
 
-    built = functools.cache(make)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([one(p, c, built()) for p, c in zip(batch["path"], batch["content"], strict=True)])
+            yield pd.DataFrame([one(p, c, _built(make)) for p, c in zip(batch["path"], batch["content"], strict=True)])
 
     return files.select("path", "content").mapInPandas(run, EXTRACTED)
 

@@ -109,7 +109,7 @@ def missing_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def text_report_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, no, line) of text reports; a report is read whole, its lines numbered in order."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     lines = F.posexplode(F.split("value", r"\r?\n"))
     return df.select(F.col("_metadata.file_path").alias("file"), lines.alias("no", "line"))
 
