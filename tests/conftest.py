@@ -5,9 +5,11 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+TESTS = Path(__file__).resolve().parent
+for folder in (str(TESTS), str(TESTS.parent)):
+    sys.path.insert(0, folder)
+# the workers import what the driver imports
+os.environ["PYTHONPATH"] = os.pathsep.join([str(TESTS.parent), str(TESTS), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
