@@ -95,7 +95,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY,
     raw = sources.select("source", "tokens", F.pow(F.col("tokens") / float(total), F.lit(a)).alias("w"))
     z, least = raw.agg(F.sum("w"), F.min(F.col("w") / F.col("tokens"))).first()
     whole = float(budget) if budget is not None else z / least
-    plan = raw.select("source", "tokens", (F.col("w") / z).alias("weight"), F.round(F.col("w") / z * whole).cast("long").alias("budget"))
+    plan = raw.select("source", "tokens", (F.col("w") / z).alias("weight"), F.floor(F.col("w") / z * whole * (1 + 1e-12) + 1e-6).alias("budget"))
     plan = plan.withColumn("blocks", F.ceil(F.col("tokens") / block))
     salt = lambda *cols: F.xxhash64(*cols, F.lit(seed))
     dealt = rows.where("n_tokens > 0").alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
