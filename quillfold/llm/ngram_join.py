@@ -48,7 +48,7 @@ CHUNK = 1_000_000
 #: Shingles counted together before a map task reports repeated ones.
 GROUP = 4_000_000
 
-_FACTS = "kind int, a long, b long, n long"
+_FACTS = "kind int, a long, b long, n long, th long"
 _POSTED = "bucket int, kind int, a binary, b binary, n binary"
 _EDGES = "a long, b long, common int, need int"
 _FOUND = "node long, parent long, links long"
@@ -89,7 +89,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, c = np.unique(np.concatenate(pool), return_counts=True)
         pool.clear()
         u, c = u[c > 1], c[c > 1]
-        return _batch(_FACTS, np.full(len(u), 1, np.int32), W.signed(u), np.zeros(len(u), np.int64), c.astype(np.int64))
+        return _batch(_FACTS, np.full(len(u), 1, np.int32), W.signed(u), np.zeros(len(u), np.int64), c.astype(np.int64), np.zeros(len(u), np.int64))
 
     for batch in batches:
         ids = batch.column(0)
@@ -103,7 +103,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pool.append(s)
             part = ids.slice(at, to - at).cast(pa.int64())
             k = len(sig)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part, pa.array(sig, pa.int64()), pa.array(size, pa.int64())], names=["kind", "a", "b", "n"])
+            text_hash = batch.column(2).slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part, pa.array(sig, pa.int64()), pa.array(size, pa.int64()), text_hash], names=["kind", "a", "b", "n", "th"])
             if sum(map(len, pool)) > GROUP:
                 yield repeated()
     if pool:
@@ -348,7 +349,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to, w in W.slices(batch, "text", True):
             keep, blob = [], []
             for i, s in enumerate(shingle_sets(w), at):
-                if _signature(s) == want[i]:  # a repeated doc_id may have another text
+                if _signature(s) == want[i]:  # hashes of texts may collide
                     keep.append(i)
                     blob.append(s.tobytes())
             part = batch.take(pa.array(keep, pa.int64()))
@@ -359,9 +360,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for each row of docs (doc_id, text)."""
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
     facts = scratch.table(docs.mapInArrow(_facts, _FACTS), "kind")
-    rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n")
-    classes = scratch.table(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    rows = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sig"), "n", "th")
+    # one row stands for a class: that of the least id, if any has one
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("lead")
+    classes = rows.where("n > 0").groupBy("sig").agg(lead, F.count("*").alias("copies"), F.first("n").alias("n"))
+    classes = scratch.table(classes.select("sig", "lead.doc_id", "lead.th", "copies", "n"))
     frequent = facts.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("c")).where(F.col("c") >= LONG_FROM)
     top = frequent.orderBy(F.desc("c"), "token").limit(LONG_LISTS).toPandas()  # at most LONG_LISTS rows
     long_keys = top["token"].to_numpy(np.int64).view(W.U)
@@ -380,7 +385,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     run = "sum(t) OVER (PARTITION BY block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     sizes = sizes.selectExpr("block", "n", f"CAST(floor(coalesce({run}, 0) / {CHUNK}) AS INT) AS c0", f"CAST(ceil(t / {CHUNK}) AS INT) AS salts")
     member = member.join(sizes, ["block", "n"]).withColumn("chunk", F.expr("c0 + CAST(pmod(xxhash64(sig), salts) AS INT)"))
-    member = scratch.table(member.select("sig", "doc_id", "copies", "n", "block", "chunk"))
+    member = scratch.table(member.select("sig", "doc_id", "th", "copies", "n", "block", "chunk"))
     chunks = member.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
     many = chunks.groupBy("block").agg(F.count("*").alias("k"), F.sum("m").alias("docs"))
     split = chunks.join(many.where("k > 1").select("block"), "block")
@@ -390,10 +395,11 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     meets = meet.selectExpr("block", "i AS chunk", "struct(i, j) AS p").union(meet.where("i < j").selectExpr("block", "j AS chunk", "struct(i, j) AS p"))
     meets = meets.groupBy("block", "chunk").agg(F.collect_list("p").alias("meets"))
     blocked = member.join(meets, ["block", "chunk"], "left").selectExpr(
-        "doc_id", "sig", "copies", "block", "chunk", "coalesce(meets, array(struct(chunk AS i, chunk AS j))) AS meets"
+        "doc_id", "th", "sig", "copies", "block", "chunk", "coalesce(meets, array(struct(chunk AS i, chunk AS j))) AS meets"
     )
     blocked = scratch.table(blocked)
-    texts = docs.join(blocked, "doc_id").select("text", "sig", "copies", "block", "chunk", "meets")
+    texts = docs.alias("d").join(blocked.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.th = b.th"))
+    texts = texts.select("text", "sig", "copies", "block", "chunk", "meets")
     sets = texts.mapInArrow(_sets_of, "sig long, copies long, block long, chunk int, meets array<struct<i:int,j:int>>, tokens binary")
     sets = sets.select("block", F.explode("meets").alias("p"), "chunk", "sig", "copies", "tokens").selectExpr("block", "p.i AS i", "p.j AS j", "chunk", "sig", "copies", "tokens")
     found = sets.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_blocks, _FOUND)

@@ -40,6 +40,12 @@ def test_odd_rows(spark):
     assert got(ngram_jaccard(spark, documents(spark))) == brute(texts())
 
 
+def test_rows_without_ids_link(spark):
+    base = prose("null", 120)
+    rows = [(None, base), (None, base + " more"), (None, base), (7, prose(7, 50)), (None, prose(8, 50))]
+    assert got(ngram_jaccard(spark, documents(spark, rows))) == brute(rows)
+
+
 def test_empty(spark):
     assert ngram_jaccard(spark, documents(spark, [])).collect() == []
 
