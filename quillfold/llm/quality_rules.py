@@ -11,7 +11,7 @@ come back, broadcast behind a check of their size, else by a join.
 
 Cases: null or empty text: no words, base_failed. Null host: a host of its own. Null
 doc_id: judged like any other. Repeated rows: each is returned, and they count as
-documents of their own in line counts. Documents without a normalised line are not depleted.
+documents of their own in line counts. Lines of symbols alone all count as one empty line.
 """
 
 from __future__ import annotations

@@ -63,7 +63,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +156,13 @@ LEFT JOIN known k ON d.digest = k.digest LEFT JOIN notices n ON d.doc_id = n.doc
 
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^ 	-]+') AS w FROM d),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t-\r]+') AS w FROM d),
 tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w)),
 twice AS (SELECT t.doc_id, t.i FROM tri t JOIN (SELECT doc_id, g FROM tri GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, g)),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS t(o) GROUP BY 1),
 lines AS (
-  SELECT doc_id, source, line, regexp_replace(regexp_replace(lower(line), '\p{{Nd}}', '0', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS norm, len(regexp_extract_all(line, '[^ 	-]+')) AS words
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]')),
+  SELECT doc_id, source, line, regexp_replace(regexp_replace(lower(line), '\p{{Nd}}', '0', 'g'), '[^\p{{L}}\p{{N}}]+', '', 'g') AS norm, len(regexp_extract_all(line, '[^ \t-\r]+')) AS words
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t-\r]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY 1),
 hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
 frequent AS (
@@ -170,7 +170,7 @@ frequent AS (
   GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {LIMIT} AND count(DISTINCT doc_id) > {SHARE} * max(h.docs)),
 gone AS (SELECT doc_id, sum(words) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY 1),
 base AS (
-  SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g')) AS word_chars,
+  SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[ \t-\r]+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
   FROM d JOIN w ON d.doc_id = w.doc_id LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
@@ -180,8 +180,8 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 """
 
 OP8_SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM documents),
-iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^ 	-]+') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t-\r]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^ \t-\r]+') AS w FROM benchmark),
 ik AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
 ig AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item_id, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM ik)),
 ks AS (SELECT DISTINCT k FROM ik),

@@ -229,7 +229,7 @@ def _wholes(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_words, n_removed, kept_sha256, kept_text) from (doc, text, all, at)."""
+    """(doc, n_words, n_removed, kept_sha256, kept_text, text_hash) from (doc, text, all, at, text_hash)."""
     for batch in batches:
         whole, marks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         null = batch.column(1).is_null().to_pylist()
@@ -258,13 +258,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(gone, pa.int64()),
                     pa.array(sha, pa.string()),
                     pa.array(text, pa.binary()).cast(pa.string()),
+                    batch.column(4).slice(start, to - start),
                 ],
-                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash"],
             )
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text), a row each."""
+    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text, text_hash), a row each.
+
+    text_hash is xxhash64 of the whole text, for joins where ids repeat.
+    """
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     ids = texts.agg(F.count("*"), F.countDistinct("doc")).first()
@@ -299,8 +303,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     state = copied.join(live, "doc", "full").select("doc", F.coalesce("copied", F.lit(False)).alias("copied"), "at")
     state = state.withColumn("at", F.when(~F.col("copied"), F.col("at")))
     state = scratch.table(state)
-    out = read.join(state, "doc", "left").select("doc", "text", "copied", "at")
-    out = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = read.join(state, "doc", "left").select("doc", "text", "copied", "at", F.xxhash64("text").alias("text_hash"))
+    out = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_hash long")
     if own:
-        return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+        return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash")
     return out.withColumnRenamed("doc", "doc_id")
