@@ -39,16 +39,19 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
+    """Of each group of linked documents the one with the least id stays, equal rows once.
+
+    Documents without an id stay, unless their group has one with an id.
+    """
     judged = ngram_jaccard(spark, docs)
     kept = judged.where("doc_id <=> component_id").select("doc_id").distinct()
-    return _by_id(docs, kept, "left_semi").dropDuplicates(["doc_id"])
+    return _by_id(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document that loses words keeps the rest, joined by spaces."""
-    judged = substring_dedup(spark, docs).select("doc_id", "n_removed", "kept_text")
-    out = _by_id(docs, judged, "left")
+    judged = substring_dedup(spark, docs).select("doc_id", "n_removed", "kept_text", "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    out = docs.alias("d").join(judged.alias("s"), F.expr("d.doc_id <=> s.doc_id AND xxhash64(d.text) = s.text_hash"), "left")
     text = F.when(F.coalesce("s.n_removed", F.lit(0)) > 0, F.col("s.kept_text")).otherwise(F.col("d.text"))
     size = F.when(F.coalesce("s.n_removed", F.lit(0)) > 0, F.length("s.kept_text").cast("long")).otherwise(F.col("d.n_chars"))
     swap = {"text": text.alias("text"), "n_chars": size.alias("n_chars")}
