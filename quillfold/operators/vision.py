@@ -207,6 +207,6 @@ def red_pixels(h: Column, s: Column, v: Column) -> Column:
     return (h.between(0, 10) | h.between(170, 180)) & (s >= 100) & (v >= 100)
 
 
-def best_candidate(group: list[str], confidence: Column, position: Column, *values: str):
-    """Aggregates of the most confident candidate, the first of equals."""
+def best_candidate(confidence: Column, position: Column, *values: str) -> Column:
+    """Aggregate: the values of the most confident candidate, the first of equals."""
     return F.max_by(F.struct(*values), F.struct(confidence, -position))

@@ -420,7 +420,7 @@ def confidence_penalties(spark, sf_dir):
 def best_candidate(spark, sf_dir):
     """Five scans of a page are its candidates: the surest, the first of equals."""
     df = scan_log(spark, sf_dir).groupBy(F.floor(F.col("scan_idx") / 5).alias("page"))
-    out = df.agg(vision.best_candidate([], F.col("confidence"), F.col("scan_idx"), "scan_idx", "raw_job").alias("b"))
+    out = df.agg(vision.best_candidate(F.col("confidence"), F.col("scan_idx"), "scan_idx", "raw_job").alias("b"))
     return out.select("page", "b.scan_idx", "b.raw_job")
 
 
