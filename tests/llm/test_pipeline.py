@@ -37,6 +37,16 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert set(seen["mix_sources"]) == clean | {100, 106, 107}
 
 
+def test_null_and_repeated_ids_lose_nothing(spark, tmp_path):
+    rows = [(None, prose(1, 90)), (None, prose(2, 90)), (5, prose(3, 90)), (5, prose(4, 90)), (5, prose(4, 90)), (6, prose(5, 90))]
+    docs, path = _tables(spark, tmp_path, rows)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, kept, path).write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+    assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
+
+
 def test_run_and_no_rows(spark, tmp_path):
     _, path = _tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, path).count() == 0
