@@ -374,8 +374,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rank = -top["c"].to_numpy(np.int64)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), total // 8_000_000 + 1)
-    posted = docs.select("text").mapInArrow(_post(long_keys[order], rank[order], 2 * parts), _POSTED)
-    edges = posted.repartition(parts, "bucket").mapInArrow(_merge, _EDGES)
+    # few partitions, as memory allows: a pair that shares many lists is a row in each of them
+    merging = max(8, total // 16_000_000 + 1)
+    posted = docs.select("text").mapInArrow(_post(long_keys[order], rank[order], 8 * merging), _POSTED)
+    edges = posted.repartition(merging, "bucket").mapInArrow(_merge, _EDGES)
     edges = edges.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("common >= need")
     node = connected_components(edges.select("a", "b"), "a", "b", scratch)
     member = scratch.table(node.select(F.col("node").alias("sig"), F.col("root").alias("block")).join(classes, "sig"))
