@@ -63,7 +63,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
+    return substring_dedup(spark, _table(spark, sf_dir, "documents")).drop("kept_text", "carried")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

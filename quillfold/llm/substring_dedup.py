@@ -13,14 +13,15 @@ Texts that are equal word for word are one class: if they have 35 words they are
 whole, and one of them stands for the class in the levels.
 
 Cases: null or empty text, or fewer than 35 words: nothing is removed. Null or repeated
-doc_id: rows get row numbers of their own meanwhile; each row is returned. Kept words are
-joined by one space; kept_text is null only for null texts.
+doc_id: rows get row numbers of their own meanwhile; each row is returned. kept_text: the
+text as it was where nothing is removed (null for null), else the kept words joined by one
+space, whose hash is kept_sha256 in either case.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -229,12 +230,13 @@ def _wholes(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_words, n_removed, kept_sha256, kept_text, text_hash) from (doc, text, all, at, text_hash)."""
+    """(doc, n_words, n_removed, kept_sha256, kept_text, carried) from (doc, text, all, at, carried)."""
     for batch in batches:
         whole, marks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         null = batch.column(1).is_null().to_pylist()
         for start, to, w in W.slices(batch, "text", False):
             count, gone, sha, text = [], [], [], []
+            plain = batch.column(1).slice(start, to - start).cast(pa.binary()).to_pylist()
             for i in range(to - start):
                 n = int(w.first[i + 1] - w.first[i])
                 if whole[start + i]:
@@ -250,7 +252,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(n)
                 gone.append(0 if keep is None else int(n - keep.sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
-                text.append(None if null[start + i] else kept)
+                text.append(None if null[start + i] else plain[i] if keep is None else kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(start, to - start),
@@ -260,17 +262,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(text, pa.binary()).cast(pa.string()),
                     batch.column(4).slice(start, to - start),
                 ],
-                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash"],
+                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "carried"],
             )
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text, text_hash), a row each.
+def substring_dedup(spark: SparkSession, docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text, carried), a row each.
 
-    text_hash is xxhash64 of the whole text, for joins where ids repeat.
+    carried is a struct of the columns of docs named in carry, as they were.
     """
     scratch = Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
     ids = texts.agg(F.count("*"), F.countDistinct("doc")).first()
     own = ids[0] != ids[1]
     if own:  # a null or repeated doc_id: number the rows, in a written table so that numbers stay
@@ -303,8 +305,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     state = copied.join(live, "doc", "full").select("doc", F.coalesce("copied", F.lit(False)).alias("copied"), "at")
     state = state.withColumn("at", F.when(~F.col("copied"), F.col("at")))
     state = scratch.table(state)
-    out = read.join(state, "doc", "left").select("doc", "text", "copied", "at", F.xxhash64("text").alias("text_hash"))
-    out = out.mapInArrow(_cut, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, text_hash long")
+    out = texts.select("doc", "text", "carried").join(state, "doc", "left").select("doc", "text", "copied", "at", "carried")
+    kind = out.schema["carried"].dataType.simpleString()
+    out = out.mapInArrow(_cut, f"doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, carried {kind}")
     if own:
-        return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text_hash")
+        return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "carried")
     return out.withColumnRenamed("doc", "doc_id")
