@@ -22,10 +22,6 @@ from quillfold.llm.substring_dedup import substring_dedup
 LEAST_SCORE = 0.3
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return list(docs.columns)
-
-
 def _by_id(docs: DataFrame, state: DataFrame, how: str = "inner") -> DataFrame:
     """docs joined with one row of state for each doc_id, nulls included."""
     return docs.alias("d").join(state.alias("s"), F.expr("d.doc_id <=> s.doc_id"), how)
@@ -50,14 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document that loses words keeps the rest, joined by spaces."""
-    judged = substring_dedup(spark, docs).select("doc_id", "n_removed", "kept_text", "text_hash").dropDuplicates(["doc_id", "text_hash"])
-    out = docs.alias("d").join(judged.alias("s"), F.expr("d.doc_id <=> s.doc_id AND xxhash64(d.text) = s.text_hash"), "left")
-    text = F.when(F.coalesce("s.n_removed", F.lit(0)) > 0, F.col("s.kept_text")).otherwise(F.col("d.text"))
-    size = F.when(F.coalesce("s.n_removed", F.lit(0)) > 0, F.length("s.kept_text").cast("long")).otherwise(F.col("d.n_chars"))
-    swap = {"text": text.alias("text"), "n_chars": size.alias("n_chars")}
+    out = substring_dedup(spark, docs, [c for c in docs.columns if c != "text"])
+    cut = F.col("n_removed") > 0
     # a document of which nothing is left goes
-    out = out.where(~((F.coalesce("s.n_removed", F.lit(0)) > 0) & (F.col("s.kept_text") == "")))
-    return out.select(*[swap.get(c, F.col(f"d.{c}")) for c in _columns(docs)])
+    out = out.where(~(cut & (F.col("kept_text") == "")))
+    size = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    own = {"text": F.col("kept_text").alias("text"), "n_chars": size.alias("n_chars")}
+    return out.select(*[own.get(c, F.col(f"carried.{c}").alias(c)) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
