@@ -167,8 +167,9 @@ def _first_level(buckets: int):
                 for i in range(to - start):
                     h = w.hash[w.first[i] : w.first[i + 1]]
                     sig = int(W.whole(h).view(np.int64))
-                    rows.append(_row(0, doc=int(ids[start + i]), sig=sig, n=len(h)))
-                    if len(h) < WINDOW or sig in seen:
+                    post = len(h) >= WINDOW and sig not in seen
+                    rows.append(_row(0, int(post), doc=int(ids[start + i]), sig=sig, n=len(h)))
+                    if not post:
                         continue
                     seen.add(sig)
                     q = W.sequences(h, QUARTER)
@@ -289,8 +290,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, carry: Sequence[str] =
         return scratch.write(back.unionByName(settled).repartition(parts, "bucket").mapInArrow(_regroup, _LIVE))
 
     first, path = scratch.write(read.mapInArrow(_first_level(buckets), _LEVEL), "kind")
-    facts = scratch.table(first.where("kind = 0").select("doc", "sig", "n"))
-    classes = facts.where(f"n >= {WINDOW}").groupBy("sig").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    facts = scratch.table(first.where("kind = 0").select("doc", "sig", "n", (F.col("bucket") == 1).alias("posted")))
+    least = F.min(F.when(F.col("posted"), F.col("doc")))  # only copies that were posted have survivors
+    classes = facts.where(f"n >= {WINDOW}").groupBy("sig").agg(least.alias("doc"), F.count("*").alias("copies"))
     # all copies of a text go whole; the other windows of the corpus still meet one of them
     lead = scratch.table(classes.select("doc"))
     live, old = survivors(first)

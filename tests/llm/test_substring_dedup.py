@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import pytest
 from fixtures import documents, prose, texts
 
 from quillfold.llm.substring_dedup import substring_dedup
@@ -49,3 +50,14 @@ def test_passages_of_every_length(spark):
     rows.append((500, " ".join(["same"] * 90)))
     rows.append((501, " ".join(["a", "b"] * 40)))
     assert got(substring_dedup(spark, documents(spark, rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("ids", [range(20, 0, -1), [7, 3, 12, 1, 9, 4, 15, 2]])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_copies_in_any_order_still_meet_others(spark, ids, parts):
+    """A passage shared with a group of copies only, whose least id is not read first."""
+    copy = prose("copy", 120)
+    rows = [(i, copy) for i in ids]
+    rows += [(100, prose(100, 40) + " " + " ".join(copy.split()[30:75]) + " " + prose(101, 30)), (0, prose(102, 60))]
+    docs = documents(spark, rows).coalesce(1)
+    assert got(substring_dedup(spark, docs.repartition(parts) if parts > 1 else docs)) == brute(rows)
