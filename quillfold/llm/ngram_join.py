@@ -10,7 +10,9 @@ Documents link when the Jaccard similarity of their sets of 5-word shingles is a
    (LONG_LISTS) and so has a proven size.
 2. Short lists are merged where they lie, in buckets of the shingle hash, and give edges of
    a candidate graph: pairs with at least l common short lists, and, for lists too long to
-   pair up, a star over the members of similar size. Lists are reduced before the shuffle.
+   pair up, a star over the members of similar size. Lists are reduced before the shuffle:
+   of a long list a slice posts one member for each size, tied to the others; a pair with
+   such a member is an edge whatever its count.
 3. Each component of that graph is a block. A block's documents meet once, with whole sets
    (a block over the memory bound as pairs of chunks of similar size), and DivideSkip
    decides exactly: merge the short lists, binary-probe the long ones for the survivors.
@@ -164,7 +166,9 @@ def _post(long_keys: np.ndarray, long_rank: np.ndarray, buckets: int):
                     new = np.r_[True, (key[1:] != key[:-1]) | (n_[1:] != n_[:-1])]
                     lead = sig_[np.flatnonzero(new)[np.cumsum(new) - 1]]
                     e = np.unique(np.stack([lead[~new], sig_[~new]], 1), axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
-                    yield blobs(0, key[new], key[new], sig_[new], n_[new])
+                    # a lead that others were left out for has its size negated
+                    alone = np.diff(np.r_[np.flatnonzero(new), len(new)]) == 1
+                    yield blobs(0, key[new], key[new], sig_[new], np.where(alone, n_[new], -n_[new]))
                     if len(e):
                         a, b = np.ascontiguousarray(e[:, 0]), np.ascontiguousarray(e[:, 1])
                         yield blobs(1, b.view(W.U), a.view(W.U), b, np.zeros(len(e), np.int32))
@@ -192,10 +196,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = key[1:] == key[:-1]
         many = np.r_[False, same] | np.r_[same, False]
         key, sig, n = key[many], sig[many], n[many]
-        o = np.lexsort((sig, n, key))
+        o = np.lexsort((n, sig, np.abs(n), key))
         key, sig, n = key[o], sig[o], n[o]
         one = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])] if len(key) else np.zeros(0, bool)
         key, sig, n = key[one], sig[one], n[one]
+        stands, n = n < 0, np.abs(n)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         count = np.diff(np.r_[first, len(key)])
         small = np.repeat(count, count) <= PAIRED
@@ -204,7 +209,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(k):
             cut = np.r_[True, (k[1:] != k[:-1]) | (DEN * m[:-1] < NUM * m[1:])]
             sure.append((s[np.flatnonzero(cut)[np.cumsum(cut) - 1]], s))
-        k, s, m = key[small], sig[small], n[small].astype(np.int64)
+        k, s, m, f = key[small], sig[small], n[small].astype(np.int64), stands[small]
         left, right, need = [], [], []
         for d in range(1, PAIRED):
             if len(k) <= d:
@@ -215,10 +220,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.flatnonzero(ok)
             a, b = s[i], s[i + d]
             left.append(np.minimum(a, b)), right.append(np.maximum(a, b))
-            need.append(np.minimum(_more(m[i]), _more(m[i + d])))
+            # those left out lose this list in their counts: meeting their lead is enough
+            need.append(np.where(f[i] | f[i + d], 0, np.minimum(_more(m[i]), _more(m[i + d]))))
         if left:
             a, b, need_ = np.concatenate(left), np.concatenate(right), np.concatenate(need)
-            o = np.lexsort((b, a))
+            o = np.lexsort((need_, b, a))
             a, b, need_ = a[o], b[o], need_[o]
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
             yield _batch(_EDGES, a[new], b[new], np.diff(np.r_[new, len(a)]).astype(np.int32), need_[new].astype(np.int32))

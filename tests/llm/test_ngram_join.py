@@ -77,6 +77,19 @@ def test_long_lists_change_nothing(spark, monkeypatch):
     assert got(ngram_jaccard(spark, documents(spark, rows))) == brute(rows)
 
 
+def test_partners_that_share_only_hot_lists(spark):
+    """y needs two hot lists in common with x; of one of them another text of its size is posted."""
+    base = prose("hot", 28).split()
+    rows = [(i, prose(i, 150) + " " + " ".join(base)) for i in range(60)]
+    rows += [(100 + i, prose(100 + i, 150) + " " + " ".join(base[-5:])) for i in range(20)]
+    rows += [(200 + i, prose(200 + i, 150) + " " + " ".join(base[:5])) for i in range(10)]
+    rows += [(300 + i, " ".join([f"first{i}", *base[1:], *[f"z{i}_{k}" for k in range(6)]])) for i in range(20)]
+    rows += [(400, " ".join(base)), (401, " ".join(base + [f"y{k}" for k in range(6)]))]
+    want = brute(rows)
+    assert str((401, 30, 400, 1)) in want
+    assert got(ngram_jaccard(spark, documents(spark, rows).coalesce(1))) == want
+
+
 def test_the_threshold_is_inclusive():
     a, b = np.arange(100, dtype=np.uint64), np.arange(0, 80, dtype=np.uint64)
     c = np.arange(0, 79, dtype=np.uint64)
