@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfold.llm.decontaminate import contaminated
-from quillfold.llm.language_id import UNKNOWN, language_id
+from quillfold.llm.language_id import UNKNOWN, identify, language_id, learn_from
 from quillfold.llm.mixing import mix_sources
 from quillfold.llm.ngram_join import ngram_jaccard
 from quillfold.llm.scratch import Scratch
@@ -22,26 +22,53 @@ from quillfold.llm.substring_dedup import substring_dedup
 LEAST_SCORE = 0.3
 
 
-def _by_id(docs: DataFrame, state: DataFrame, how: str = "inner") -> DataFrame:
-    """docs joined with one row of state for each doc_id, nulls included."""
-    return docs.alias("d").join(state.alias("s"), F.expr("d.doc_id <=> s.doc_id"), how)
+def _rows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key _row of each row's own, and whether that is not doc_id.
+
+    With a null or repeated doc_id rows are numbered, in a written table so that numbers stay.
+    """
+    n, ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("_row", F.col("doc_id")), False
+    return Scratch(spark).table(docs.withColumn("_row", F.monotonically_increasing_id())), True
+
+
+def _as_docs(rows: DataFrame) -> DataFrame:
+    """Rows with their key for a doc_id, so that operators judge each row."""
+    return rows.drop("doc_id").withColumnRenamed("_row", "doc_id")
+
+
+def _without(rows: DataFrame, gone: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows joined with a table of keys, the key dropped."""
+    return rows.join(gone.select(F.col("doc_id").alias("_row")), "_row", how).drop("_row")
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an unknown language go; the rest keep their columns."""
-    judged = language_id(spark, docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE))
-    rejected = Scratch(spark).table(judged.select("doc_id").distinct())
-    return _by_id(docs, rejected, "left_anti")
+    rows, own = _rows(spark, docs)
+    if own:  # learning goes by doc_id as in language_id, judging by row
+        texts = _as_docs(rows).select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+        judged = identify(spark, texts, learn_from(spark, docs))
+    else:
+        judged = language_id(spark, docs)
+    judged = judged.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE))
+    return _without(rows, Scratch(spark).table(judged.select("doc_id"))).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays, equal rows once.
 
-    Documents without an id stay, unless their group has one with an id.
+    Where none of a group has an id, one of them stays.
     """
-    judged = ngram_jaccard(spark, docs)
-    kept = judged.where("doc_id <=> component_id").select("doc_id").distinct()
-    return _by_id(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
+    rows, own = _rows(spark, docs)
+    judged = ngram_jaccard(spark, _as_docs(rows))
+    if not own:
+        kept = judged.where("doc_id = component_id")
+        return _without(rows, kept, "left_semi").select(docs.columns)
+    ids = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least")
+    kept = judged.join(ids, "doc_id").groupBy("component_id").agg(least).select("least.doc_id")
+    return _without(rows, kept, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +85,9 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = Scratch(spark).table(contaminated(spark, docs, items).select("doc_id").distinct())
-    return _by_id(docs, found, "left_anti")
+    rows, _ = _rows(spark, docs)
+    found = Scratch(spark).table(contaminated(spark, _as_docs(rows), items).select("doc_id").distinct())
+    return _without(rows, found).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,8 +194,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+
+def learn_from(spark: SparkSession, docs: DataFrame) -> LanguageFilter:
+    """Learn from the rows of docs that have an id and are not held out."""
+    return learn(spark, _plain(docs).where(~held_out() & F.col("doc_id").isNotNull()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs (doc_id, text, lang)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = learn(spark, rows.where(~held_out() & F.col("doc_id").isNotNull()))
-    return identify(spark, rows, known).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(spark, _plain(docs), learn_from(spark, docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -47,6 +47,26 @@ def test_null_and_repeated_ids_lose_nothing(spark, tmp_path):
     assert sorted(r.text for r in kept.collect()) == sorted({t for _, t in rows})
 
 
+def test_verdicts_apply_to_their_own_rows(spark, tmp_path):
+    """Rejected and linked rows without an id, or with that of a clean row."""
+    item, base, other, third = prose("item", 40), prose(20, 200), prose(21, 200), prose(22, 200)
+    rows = [(i, prose(100 + i, 90)) for i in range(10, 30)]
+    clean = [(None, prose(1, 90)), (None, prose(2, 90)), (50, prose(3, 90))]
+    bad = [(None, "123 456"), (50, "123 456"), (None, prose(4, 90) + " " + item), (50, prose(5, 90) + " " + item)]
+    linked = [(40, base), (None, base + " near"), (41, other), (50, other + " near"), (None, third), (None, third + " near")]
+    docs, path = _tables(spark, tmp_path, rows + clean + bad + linked)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "substring_dedup":
+            stage(spark, kept, path).write.parquet(str(tmp_path / name))
+            kept = spark.read.parquet(str(tmp_path / name))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    thirds = [x for x in got if x[1].startswith(third)]
+    assert len(thirds) == 1
+    want = rows + clean + [(40, base), (41, other)]
+    assert sorted(map(str, set(got) - set(thirds))) == sorted(map(str, want)) and len(got) == len(want) + 1
+
+
 def test_run_and_no_rows(spark, tmp_path):
     _, path = _tables(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, path).count() == 0
