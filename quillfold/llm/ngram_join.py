@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from quillfold.llm import words as W
 from quillfold.llm.components import connected_components
-from quillfold.llm.scratch import Scratch, partitions
+from quillfold.llm.scratch import BROADCAST_BYTES, Scratch, partitions
 
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 80, 100
-#: Shingles whose lists may count as long (most frequent first): a bound of the broadcast.
+#: Shingles whose lists may count as long (the most frequent ones): a bound of the broadcast.
 LONG_LISTS = 1 << 17
 #: A list counts as long from this many documents, as far as they repeat within one slice group.
 LONG_FROM = 48
@@ -377,7 +377,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
     top = frequent.orderBy(F.desc("c"), "token").limit(LONG_LISTS).toPandas()  # at most LONG_LISTS rows
     long_keys = top["token"].to_numpy(np.int64).view(W.U)
     order = np.argsort(long_keys)
-    rank = -top["c"].to_numpy(np.int64)
+    rank = top["c"].to_numpy(np.int64)  # the rarest first
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(partitions(spark), total // 8_000_000 + 1)
     # few partitions, as memory allows: a pair that shares many lists is a row in each of them
@@ -406,6 +406,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id", "th", "sig", "copies", "block", "chunk", "coalesce(meets, array(struct(chunk AS i, chunk AS j))) AS meets"
     )
     blocked = scratch.table(blocked)
+    # 64 bytes a row and 8 a meeting: a list that is proven small goes to the texts, else texts are dealt by hash
+    held = blocked.agg(64 * F.count("*") + 8 * F.sum(F.size("meets"))).first()[0] or 0
+    blocked = F.broadcast(blocked) if held <= BROADCAST_BYTES else blocked
     texts = docs.alias("d").join(blocked.alias("b"), F.expr("d.doc_id <=> b.doc_id AND d.th = b.th"))
     texts = texts.select("text", "sig", "copies", "block", "chunk", "meets")
     sets = texts.mapInArrow(_sets_of, "sig long, copies long, block long, chunk int, meets array<struct<i:int,j:int>>, tokens binary")

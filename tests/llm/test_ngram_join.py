@@ -94,3 +94,65 @@ def test_the_threshold_is_inclusive():
     a, b = np.arange(100, dtype=np.uint64), np.arange(0, 80, dtype=np.uint64)
     c = np.arange(0, 79, dtype=np.uint64)
     assert [(i, j.tolist()) for i, j in divide_skip([c, b, a])] == [(1, [0]), (2, [1])]
+
+
+def test_folded_lists_lose_no_link(spark):
+    """Each list that x and y share is long, and in either slice another text of its size stands for them."""
+    base = [f"c{k}" for k in range(44)]
+    near = [*base[:-1], "other"]
+    halves = []
+    for side, text in ((0, base), (1, near)):
+        rows = [(100_000 * side, " ".join(text))]
+        for at in range(40):
+            shared = [f"s{side}_{at}_{k}" for k in range(30)]
+            for member in range(50):
+                own = [f"m{side}_{at}_{member}_{k}" for k in range(5)]
+                rows.append((100_000 * side + 1 + 50 * at + member, " ".join([*own, *shared, *base[at : at + 5]])))
+        halves.append(rows)
+    docs = documents(spark, [*halves[0], *halves[1]]).repartitionByRange(2, "doc_id")
+    found = {r.doc_id: r for r in ngram_jaccard(spark, docs).where("doc_id IN (0, 100000)").collect()}
+    assert [(found[i].n_shingles, found[i].component_id, found[i].n_links) for i in (0, 100_000)] == [(40, 0, 1), (40, 0, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_that_cross_small_slices(spark, monkeypatch, seed):
+    """Random clusters with shared passages, hot and cold lists, dealt over slices of a few texts."""
+    monkeypatch.setattr(ngram_join, "LONG_FROM", 6)
+    monkeypatch.setattr(ngram_join, "PAIRED", 12)
+    monkeypatch.setattr(ngram_join, "GROUP", 4000)
+    r = np.random.default_rng(seed)
+    passages = [prose(f"{seed}p{k}", int(r.integers(5, 40))).split() for k in range(6)]
+    rows = []
+    for c in range(8):
+        base = prose(f"{seed}c{c}", int(r.integers(6, 90))).split()
+        for _ in range(int(r.integers(1, 40))):
+            w = list(base)
+            for at in r.integers(0, len(w), int(r.integers(0, 3))):
+                w[at] = f"e{r.integers(40)}"
+            if r.random() < 0.5:
+                w += passages[r.integers(len(passages))]
+            rows.append((len(rows), " ".join(w)))
+    order = r.permutation(len(rows))
+    docs = documents(spark, [rows[i] for i in order]).repartition(7)
+    assert got(ngram_jaccard(spark, docs)) == brute(rows)
+
+
+def test_forests_keep_components(spark):
+    from quillfold.llm.components import connected_components
+    from quillfold.llm.scratch import Scratch
+
+    r = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 400, (330, 2))]
+    top = list(range(400))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {x.node: x.root for x in connected_components(df, "a", "b", Scratch(spark)).collect()} == want
