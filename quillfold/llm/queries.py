@@ -114,7 +114,7 @@ r AS (
 b AS (SELECT * FROM (VALUES {_SITES}) AS t(site)),
 l AS (
   SELECT r.*, CASE WHEN rule IS NULL THEN
-    (SELECT max(site) FROM b WHERE regexp_replace(r.host, '(:(80|443))?$', '') = site OR ends_with(regexp_replace(r.host, '(:(80|443))?$', ''), '.' || site)) END AS listed_url
+    (SELECT max(site) FROM b WHERE regexp_replace(r.host, '(:[0-9]*)?$', '') = site OR ends_with(regexp_replace(r.host, '(:[0-9]*)?$', ''), '.' || site)) END AS listed_url
   FROM r)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'

@@ -2,19 +2,23 @@
 
 Rules come first: the longest rule that fits decides. Other URLs are looked up in the
 list: each URL has a few lookup keys (its canonical form, its host and parent domains,
-each with the path's first levels), a blocked Bloom filter of the list passes the keys
-that may be listed, and an exact hash join with the list drops the false positives.
+each with its path's first levels, as many as the list's deepest entry has), a blocked
+Bloom filter of the list passes the keys that may be listed, and an exact hash join with
+the list drops the false positives.
 
-The filter is one cache line (512 bits) for each key: its size follows the list, never the
-pages, and is checked before it is sent to the tasks. A larger list skips the filter: all
-keys then go to the exact join.
+The filter is a table of blocks (one cache line of 512 bits for each key), built by
+bitwise aggregates. Within FILTER_BYTES it goes to the tasks that read the pages, so that
+nothing but possible hits is shuffled; a larger one stays a table, and keys meet their
+block by a join.
 
 Canonical form: scheme, user and default port dropped, host lower-cased without a
 leading `www.` or a trailing dot, path without a trailing `/`, fragment and `utm_*`
-parameters dropped.
+parameters dropped. A listed host covers its subdomains, on any port; a listed path the
+paths below it; a listed query only itself.
 
 Cases: null url or no `://`: host and path are empty, no rule fits, allow. An empty list
-blocks nothing. Null ids and repeated rows: each row is returned.
+blocks nothing. Null or repeated ids and repeated urls: each row is returned. Very long
+urls: as many keys as the list is deep. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfold.llm import words as W
+from quillfold.llm.scratch import BROADCAST_BYTES, Scratch
 
 ALLOW, BLOCK = "allow", "block"
-#: Path levels that a listed URL may name in lookups of a prefix.
-LEVELS = 2
-#: Bits of one listed key in the filter, its block in bits, and the most the filter may take.
-BITS_PER_KEY, BLOCK_BITS, PROBES = 16, 512, 6
+#: Bits of one listed key in the filter, its block in bits and in words, and bits that a key sets.
+BITS_PER_KEY, BLOCK_BITS, CELLS, PROBES = 16, 512, 8, 6
+#: A filter up to this size is sent to the tasks.
 FILTER_BYTES = 32 << 20
 
 # Rules of the query: fixed values (verdict, host, path).
@@ -75,51 +78,79 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
 
 
-def lookups(url: Column) -> Column:
-    """Keys under which a listed URL covers this one: itself, and host suffixes x path prefixes."""
-    whole = canonical(url)
-    bare = F.split_part(whole, F.lit("?"), F.lit(1))
-    host = F.split_part(bare, F.lit("/"), F.lit(1))
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.split(F.substring(bare, F.length(host) + 2, F.length(bare)), "/")
-    paths = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(LEVELS))), lambda i: F.concat(F.when(i > 0, F.lit("/")).otherwise(F.lit("")), F.array_join(F.slice(parts, 1, i), "/")))
-    spans = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.array_distinct(F.concat(F.array(whole, bare), spans))
-
-
-class BlockedBloom:
-    """Every key sets PROBES bits of one 512-bit block."""
-
-    def __init__(self, keys: np.ndarray):
-        self.blocks = max(1, -(-len(keys) * BITS_PER_KEY // BLOCK_BITS))
-        self.words = np.zeros((self.blocks, BLOCK_BITS // 64), W.U)
-        block, cell, bit = self._place(keys)
-        for j in range(PROBES):
-            np.bitwise_or.at(self.words, (block, cell[j]), bit[j])
-
-    def _place(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        h = W.mix(keys)
-        block = ((h >> W.U(32)) * W.U(self.blocks)) >> W.U(32)
-        spread = W.mix(h ^ W.U(0x5851F42D4C957F2D))
-        at = [(spread >> W.U(9 * j)) & W.U(BLOCK_BITS - 1) for j in range(PROBES)]
-        return block.astype(np.int64), [(a >> W.U(6)).astype(np.int64) for a in at], [W.U(1) << (a & W.U(63)) for a in at]
-
-    def may_hold(self, keys: np.ndarray) -> np.ndarray:
-        block, cell, bit = self._place(keys)
-        out = np.ones(len(keys), bool)
-        for j in range(PROBES):
-            out &= self.words[block, cell[j]] & bit[j] != 0
-        return out
-
-
-def _passing(bloom: BlockedBloom):
+def with_lookups(rows: DataFrame, open_: Column, levels: int) -> DataFrame:
+    """Adds `entries` to rows with url: keys under which a listed URL covers this one.
+
+    Its canonical form, with and without query, and host suffixes x path prefixes; none
+    where open_ is false. Each part is a column, so that it is computed once a row.
+    """
+    c = F.when(open_, canonical(F.col("url")))
+    out = rows.withColumn("_c", c).withColumn("_bare", F.split_part("_c", F.lit("?"), F.lit(1)))
+    out = out.withColumn("_host", F.split_part("_bare", F.lit("/"), F.lit(1)))
+    out = out.withColumn("_labels", F.split(F.regexp_replace("_host", r":\d*$", ""), r"\."))
+    out = out.withColumn("_parts", F.split(F.substring("_bare", F.length("_host") + 2, F.length("_bare")), "/", levels + 2 if levels else 1))
+    n = F.size("_labels")
+    hosts = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice("_labels", i, n), "."))
+    join = lambda i: F.concat(F.when(i > 0, F.lit("/")).otherwise(F.lit("")), F.array_join(F.slice("_parts", 1, i), "/"))
+    paths = F.transform(F.sequence(F.lit(0), F.least(F.size("_parts"), F.lit(levels))), join)
+    out = out.withColumn("_hosts", hosts).withColumn("_paths", paths)
+    spans = F.flatten(F.transform("_hosts", lambda h: F.transform("_paths", lambda p: F.concat(h, p)))) if levels else F.col("_hosts")
+    entries = F.coalesce(F.array_distinct(F.concat(F.array("_c", "_bare"), spans)), F.array().cast("array<string>"))
+    return out.withColumn("entries", entries).drop("_c", "_bare", "_host", "_labels", "_parts", "_hosts", "_paths")
+
+
+def _bits(k: Column) -> list[tuple[Column, Column]]:
+    """(word within its block, bit) of each of a key's bits."""
+    spread = F.xxhash64(k)
+    at = [F.shiftrightunsigned(spread, 9 * j).bitwiseAND(BLOCK_BITS - 1) for j in range(PROBES)]
+    return [(F.shiftright(a, 6), F.call_function("shiftleft", F.lit(1).cast("long"), a.bitwiseAND(63).cast("int"))) for a in at]
+
+
+def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
+    """(block, w0 ... w7): the filter of keys k, its empty blocks left out."""
+    bits = _bits(F.col("k"))
+
+    def word(c: int) -> Column:
+        out = F.lit(0).cast("long")
+        for cell, bit in bits:
+            out = out.bitwiseOR(F.when(cell == c, bit).otherwise(F.lit(0).cast("long")))
+        return F.bit_or(out).alias(f"w{c}")
+
+    return listed.groupBy(F.pmod("k", F.lit(blocks)).alias("block")).agg(*[word(c) for c in range(CELLS)])
+
+
+def _fits(words: Column) -> Column:
+    """Whether a block's words (array) have all bits of k."""
+    out = F.lit(True)
+    for cell, bit in _bits(F.col("k")):
+        out = out & (F.get(words, cell.cast("int")).bitwiseAND(bit) != 0)
+    return out
+
+
+def _possible(held, blocks: int):
+    """Scan side: the places of the keys that may be listed, by the filter sent along.
+
+    Rows end with block array<long>, cell and bit arrays of PROBES entries a key.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros((blocks, CELLS), np.uint64)
+        at, filled = held.value
+        words[at] = filled
         for batch in batches:
-            keep = bloom.may_hold(batch.column(1).to_numpy(zero_copy_only=False).view(W.U))
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+            keys, spread = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            first = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            block = keys.flatten().to_numpy(zero_copy_only=False)
+            spread = spread.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            hit = np.ones(len(block), bool)
+            for j in range(PROBES):
+                bit = (spread >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1)
+                hit &= (words[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+            place = np.arange(len(block)) - np.repeat(first[:-1], np.diff(first))
+            offsets = np.r_[0, np.cumsum(hit)][first].astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[hit].astype(np.int32)))
+            columns = [batch.column(i) for i in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*columns, found], names=[*batch.schema.names[:-2], "at"])
 
     return run
 
@@ -129,22 +160,40 @@ def judge_urls(spark: SparkSession, pages: DataFrame, listed: DataFrame | None =
 
     listed: blocked URLs, a table with a column url (default BLOCKED_URLS).
     """
+    scratch = Scratch(spark)
     if listed is None:
         listed = spark.createDataFrame([(u,) for u in BLOCKED_URLS], "url string")
     listed = listed.where("url IS NOT NULL").select(canonical(F.col("url")).alias("entry")).where("entry <> ''").distinct()
-    key = F.xxhash64(F.col("entry"))
+    listed = scratch.table(listed.withColumn("k", F.xxhash64("entry")))
+    depth = F.size(F.split(F.split_part("entry", F.lit("?"), F.lit(1)), "/")) - 1
+    n, levels, longest = listed.agg(F.count("*"), F.max(depth), F.max(F.octet_length("entry"))).first()
+    blocks = max(1, -(-n * BITS_PER_KEY // BLOCK_BITS))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    open_ = rows.where("fit IS NULL AND host <> ''").select("url").distinct()
-    keys = open_.select(F.explode(lookups(F.col("url"))).alias("entry"), "url").select("entry", key.alias("k"), "url")
-    n = listed.count()
-    if n * BITS_PER_KEY // 8 <= FILTER_BYTES:
-        held = np.array([r[0] for r in listed.select(key).collect()], np.int64).view(W.U)
-        keys = keys.mapInArrow(_passing(BlockedBloom(held)), keys.schema)
-    hits = keys.join(listed.withColumn("k", key), ["k", "entry"])  # exact: false positives go
-    hits = hits.groupBy("url").agg(F.max_by("entry", F.struct(F.length("entry"), "entry")).alias("listed_url"))
-    out = rows.join(hits, "url", "left")
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("listed_url").isNotNull(), F.lit(BLOCK)), F.lit(ALLOW))
-    hit = F.when(F.col("fit").isNull(), F.col("listed_url"))
-    return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), hit.alias("listed_url"))
+    rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict", "url")
+    if not n:
+        return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(ALLOW)).alias("verdict"), F.lit(None).cast("string").alias("listed_url"))
+    if n * (longest + 64) <= BROADCAST_BYTES:
+        listed = F.broadcast(listed)
+    open_ = F.col("rule").isNull() & (F.col("host") != "")
+    rows = with_lookups(rows, open_, levels)
+    if blocks * BLOCK_BITS // 8 <= FILTER_BYTES:
+        got = bloom_blocks(listed, blocks).toPandas()  # at most FILTER_BYTES
+        held = spark.sparkContext.broadcast((got["block"].to_numpy(np.int64), got[[f"w{c}" for c in range(CELLS)]].to_numpy(np.int64).view(np.uint64)))
+        probed = rows.withColumn("k", F.transform("entries", lambda e: F.xxhash64(e))).drop("entries").select("*", F.transform("k", lambda k: F.pmod(k, F.lit(blocks))).alias("block"), F.transform("k", lambda k: F.xxhash64(k)).alias("spread")).drop("k")
+        schema = "page_id long, host string, path string, rule string, verdict string, url string, at array<int>"
+        seen = probed.mapInArrow(_possible(held, blocks), schema)
+        seen = scratch.table(seen.withColumn("row", F.monotonically_increasing_id()))
+        possible = with_lookups(seen.where(F.size("at") > 0).select("row", "url", "at"), F.lit(True), levels).select("row", F.explode("at").alias("i"), "entries").select("row", F.get("entries", F.col("i")).alias("entry"))
+        free, seen = seen.where(F.size("at") == 0), seen.where(F.size("at") > 0)
+    else:
+        seen = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
+        possible = seen.select("row", F.explode("entries").alias("entry")).withColumn("k", F.xxhash64("entry"))
+        table = bloom_blocks(listed, blocks).select("block", F.array(*[f"w{c}" for c in range(CELLS)]).alias("words"))
+        possible = possible.withColumn("block", F.pmod("k", F.lit(blocks))).join(table, "block").where(_fits(F.col("words"))).select("row", "entry")
+        free = seen.limit(0)
+    # exact: false positives go
+    hits = possible.withColumn("k", F.xxhash64("entry")).join(listed, ["k", "entry"]).groupBy("row").agg(F.max_by("entry", F.struct(F.length("entry"), "entry")).alias("listed_url"))
+    out = seen.join(hits, "row", "left").unionByName(free.withColumn("listed_url", F.lit(None).cast("string")), allowMissingColumns=True)
+    verdict = F.coalesce("verdict", F.when(F.col("listed_url").isNotNull(), F.lit(BLOCK)), F.lit(ALLOW))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed_url")
