@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,11 +60,13 @@ class Validator:
         tail = r"(\d{2})(?![0-9A-Za-z])"
         self.strict = rf"(?<!\d)({base})({gap}){tail}"
         self.loose = rf"(?<!\d)({base})({gap})(\d{{2}})?"
+        self.plain = rf"^{year}0\d{{3}}(-\d{{2}})?$"
         self.headless = rf"(?:^|\D)(\d)(\s*0\s*\d\s*\d\s*\d){gap}{tail}"
 
     def verdict(self, text: Column) -> Column:
         """struct<is_valid, normalized, reason>; confidence never changes it."""
-        return F.when(F.coalesce(text, F.lit("")) == "", self._no("empty_input")).otherwise(_let(clean(text), self._of_clean))
+        whole = F.coalesce(F.rlike(text, F.lit(self.plain)), F.lit(False))  # no noise, nothing to mend
+        return F.when(whole, self._yes(text)).when(F.coalesce(text, F.lit("")) == "", self._no("empty_input")).otherwise(_let(clean(text), self._of_clean))
 
     def normalize(self, text: Column) -> Column:
         return self.verdict(text)["normalized"]
@@ -99,21 +103,32 @@ class Validator:
         )
 
     @staticmethod
-    def _match(t: Column, pattern: str) -> Column:
+    def _groups(t: Column, pattern: str, of_groups: Callable[[Callable[[int], Column]], Column]) -> Column:
+        """of_groups(group by number) of the first match, from one run of the pattern; null without one."""
+        marked = F.regexp_replace(t, rf"(?s)^.*?{pattern}.*$", "$1\u0001$2\u0001$3")
+        return _let(F.split(marked, "\u0001"), lambda g: F.when(F.size(g) == 3, of_groups(lambda i: F.get(g, F.lit(i - 1)))))
+
+    def _match(self, t: Column, pattern: str) -> Column:
         """The identifier that pattern finds, null if none or broken over more than one line."""
-        base = F.regexp_replace(F.regexp_extract(t, pattern, 1), r"\s+", "")
-        gap, suffix = F.regexp_extract(t, pattern, 2), F.regexp_extract(t, pattern, 3)
-        broken = (suffix != "") & (F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit(""))) > 1)
-        return F.when((base != "") & ~broken, F.concat(base, F.when(suffix != "", F.concat(F.lit("-"), suffix)).otherwise(F.lit(""))))
+
+        def found(group: Callable[[int], Column]) -> Column:
+            gap, suffix = group(2), group(3)
+            broken = (suffix != "") & (F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit(""))) > 1)
+            return F.when(~broken, F.concat(F.regexp_replace(group(1), r"\s+", ""), F.when(suffix != "", F.concat(F.lit("-"), suffix)).otherwise(F.lit(""))))
+
+        return self._groups(t, pattern, found)
 
     def _rescue(self, t: Column) -> Column:
         """The first decade that makes a lone year digit valid."""
-        digit, rest, suffix = (F.regexp_extract(t, self.headless, i) for i in (1, 2, 3))
-        year = F.lit(None).cast("string")
-        for y in sorted(self.config.years, reverse=True):
-            if y < 100:
-                year = F.when(digit == str(y % 10), F.lit(f"{y:02d}")).otherwise(year)
-        return F.when(suffix != "", F.concat(year, F.regexp_replace(rest, r"\s+", ""), F.lit("-"), suffix))
+
+        def found(group: Callable[[int], Column]) -> Column:
+            year = F.lit(None).cast("string")
+            for y in sorted(self.config.years, reverse=True):
+                if y < 100:
+                    year = F.when(group(1) == str(y % 10), F.lit(f"{y:02d}")).otherwise(year)
+            return F.concat(year, F.regexp_replace(group(2), r"\s+", ""), F.lit("-"), group(3))
+
+        return self._groups(t, self.headless, found)
 
 
 def is_failed(job: Column) -> Column:

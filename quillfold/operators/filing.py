@@ -172,11 +172,10 @@ def _fold(c: FilingConfig) -> str:
     """SQL of the fold over `rows` (_rn, scan_idx, _near), sorted: array<struct<n, job, base>>."""
     # what a neighbour is by now: filled earlier in this run, or as it was
     now = """transform(filter(x._near, y -> y IS NOT NULL), y -> named_struct(
-        'n', y.n, 'scan_idx', y.scan_idx, 'f', element_at(filter(s, z -> z.n = y.n AND z.job IS NOT NULL), -1), 'o', y))"""
+        'n', y.n, 'scan_idx', y.scan_idx, 'f', get(filter(last, z -> z.n = y.n AND z.job IS NOT NULL), 0), 'o', y))"""
     now = f"""transform({now}, y -> named_struct('n', y.n, 'dist', abs(y.scan_idx - x.scan_idx),
         'job', coalesce(y.f.job, y.o.job), 'base', coalesce(y.f.base, y.o.base),
         'valid', y.f IS NOT NULL OR y.o.valid, 'gate', y.f IS NOT NULL OR y.o.gate))"""
-    now = now.replace("element_at(filter(s, z -> z.n = y.n AND z.job IS NOT NULL), -1)", "get(filter(s, z -> z.n = y.n AND z.job IS NOT NULL), 0)")
     voters = f"filter({now}, y -> y.valid)"
     major = "array_max(transform(v, y -> struct(size(filter(v, z -> z.base = y.base)) AS c, -y.n AS k, y.base AS b))).b"
     weight = f"""CAST({c.window + 1} - abs(y.n - x._rn) AS DOUBLE)
@@ -184,9 +183,11 @@ def _fold(c: FilingConfig) -> str:
         * CASE WHEN y.base = m THEN 1.0D ELSE CAST({c.outlier} AS DOUBLE) END"""
     weighed = f"transform(filter(v, y -> y.dist <= {c.max_distance} AND y.gate), y -> struct(y.n AS n, y.job AS job, y.base AS base, {weight} AS w))"
     best = "array_max(transform(q, y -> struct(aggregate(filter(q, z -> z.job = y.job), 0.0D, (t, z) -> t + z.w) AS t, -y.n AS k, y.job AS job, y.base AS base)))"
+    # neighbours lie within the window, so the last results are all that a row can see
+    recent = f"slice(s, greatest(size(s) - {c.window - 1}, 1), {c.window})"
     one = f"transform(array({voters}), v -> transform(array({major}), m -> transform(array({weighed}), q -> {best})[0])[0])[0]"
+    one = f"transform(array({recent}), last -> {one})[0]"
     step = f"transform(array({one}), r -> concat(s, array(named_struct('n', x._rn, 'job', r.job, 'base', r.base))))[0]"
-    # only the rows just before matter to the next one, the rest is the result
     return f"aggregate(rows, CAST(array() AS array<struct<n:int,job:string,base:string>>), (s, x) -> {step})"
 
 

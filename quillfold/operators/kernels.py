@@ -104,9 +104,8 @@ def erode(x: np.ndarray, width: int, height: int, times: int = 1) -> np.ndarray:
     return x
 
 
-def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, width, height, pixels) of the 8-connected regions, from runs of rows joined bottom up."""
-    boxes: list[list[int]] = []
+def _runs(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(y, from, to, region) of each row's runs, regions being 8-connected; rows are joined bottom up."""
     up: list[int] = []
 
     def top(i: int) -> int:
@@ -115,6 +114,7 @@ def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             i = up[i]
         return i
 
+    found: list[tuple[int, int, int, int]] = []
     above: list[tuple[int, int, int]] = []
     for y, row in enumerate(mask):
         edge = np.flatnonzero(np.diff(np.r_[0, row.astype(np.int8), 0]))
@@ -131,18 +131,33 @@ def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             if label < 0:
                 label = len(up)
                 up.append(label)
-                boxes.append([a, y, b, y + 1, 0])
-            box = boxes[label]
-            box[:] = [min(box[0], a), min(box[1], y), max(box[2], b), y + 1, box[4] + b - a]
+            found.append((y, a, b, label))
             now.append((a, b, label))
         above = now
+    return [(y, a, b, top(i)) for y, a, b, i in found]
+
+
+def regions(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, width, height, pixels) of the 8-connected regions."""
     merged: dict[int, list[int]] = {}
-    for i, (a, b, c, d, n) in enumerate(boxes):
-        m = merged.setdefault(top(i), [a, b, c, d, 0])
-        m[:] = [min(m[0], a), min(m[1], b), max(m[2], c), max(m[3], d), m[4] + n]
+    for y, a, b, i in _runs(mask):
+        m = merged.setdefault(i, [a, y, b, y + 1, 0])
+        m[:] = [min(m[0], a), min(m[1], y), max(m[2], b), max(m[3], y + 1), m[4] + b - a]
     return [(a, b, c - a, d - b, n) for a, b, c, d, n in merged.values()]
 
 
+def without_specks(mask: np.ndarray, least: int) -> np.ndarray:
+    """The regions of at least so many pixels."""
+    runs = _runs(mask)
+    size: dict[int, int] = {}
+    for _, a, b, i in runs:
+        size[i] = size.get(i, 0) + b - a
+    out = np.zeros_like(mask)
+    for y, a, b, i in runs:
+        out[y, a:b] = size[i] >= least
+    return out
+
+
 def stamp_boxes(img: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Wide regions of blue or green ink of over a thousandth of the page."""
     mask = dilate(in_ranges(to_hsv(img), STAMP), 15, 5, 2)
@@ -263,7 +278,14 @@ def enhance(img: np.ndarray, method: str = "combined") -> np.ndarray:
 
 
 def enhance_all(img: np.ndarray, methods: tuple[str, ...] = (*METHODS, "combined")) -> list[tuple[str, np.ndarray]]:
-    return [(m, enhance(img, m)) for m in methods]
+    """(method, picture) of each method; one that fails is left out."""
+    out = []
+    for m in methods:
+        try:
+            out.append((m, enhance(img, m)))
+        except (ValueError, IndexError, ArithmeticError):
+            continue
+    return out
 
 
 def for_reading(img: np.ndarray, colour_only: bool = False, thicken: bool = False) -> np.ndarray:
@@ -283,18 +305,40 @@ def for_reading(img: np.ndarray, colour_only: bool = False, thicken: bool = Fals
     return erode(out, 2, 2) if thicken and (found or not colour_only) else out
 
 
+def to_lab(img: np.ndarray) -> np.ndarray:
+    """CIE L*a*b* of sRGB under D65, L in 0 to 255, a and b around 128."""
+    c = img[..., ::-1] / 255.0
+    c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
+    # the matrix of sRGB and the white point: fixed values
+    xyz = c @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]).T / np.array([0.950456, 1.0, 1.088754])
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    light = np.where(xyz[..., 1] > 0.008856, 116 * f[..., 1] - 16, 903.3 * xyz[..., 1])
+    lab = np.stack([light * 2.55, 500 * (f[..., 0] - f[..., 1]) + 128, 200 * (f[..., 1] - f[..., 2]) + 128], -1)
+    return np.clip(np.rint(lab), 0, 255).astype(np.uint8)
+
+
+def _ellipse(mask: np.ndarray, op) -> np.ndarray:
+    """One step of dilation or erosion by an ellipse of 5 x 3: a row of five, and one above and below."""
+    flat = _slide(mask, 5, 1, op)
+    return op(flat, _slide(mask, 3, 0, op))
+
+
 def faint_ink(img: np.ndarray) -> np.ndarray | None:
     """Faint blue ink, black on white and enlarged; null where there is next to none or too much."""
     if img.ndim != 3 or img.shape[0] < 5 or img.shape[1] < 10:
         return None
-    light = gray(img)
-    blueness = np.clip(img[..., 0].astype(int) - img[..., 2], 0, 255)
-    ink = (blueness > 10) & (light >= 30)
-    ink = erode(dilate(ink, 5, 3, 2), 5, 3, 2)
-    keep = np.zeros_like(ink)
-    for x, y, w, h, n in regions(ink):
-        if n >= 10:
-            keep[y : y + h, x : x + w] |= ink[y : y + h, x : x + w]
-    if not 0.002 <= keep.mean() <= 0.5:
+    lab = to_lab(img)
+    blue = np.where((lab[..., 0] < 30) | (lab[..., 2] > 118), 128, lab[..., 2])
+    plane = np.pad(255.0 - blue, 1, mode="reflect")
+    near = np.exp(-0.5)  # weights of a 3 x 3 Gaussian of sigma 1
+    for axis in (0, 1):
+        n = plane.shape[axis]
+        low, mid, high = (np.take(plane, range(i, n - 2 + i), axis) for i in range(3))
+        plane = (near * (low + high) + mid) / (1 + 2 * near)
+    ink = np.rint(plane) > 132
+    for op in (np.maximum, np.maximum, np.minimum, np.minimum):
+        ink = _ellipse(ink, op)
+    ink = without_specks(ink, 10)
+    if not 0.002 <= ink.mean() <= 0.5:
         return None
-    return 255 - enlarge(np.where(keep, 255, 0).astype(np.uint8), 2.5)
+    return 255 - enlarge(np.where(ink, 255, 0).astype(np.uint8), 2.5)

@@ -158,12 +158,51 @@ def accuracy_trend(history: DataFrame) -> DataFrame:
 def evolution(counts: DataFrame, reports: DataFrame, kind: str) -> DataFrame:
     """For each kind its counts over all reports in order, 0 where absent; all-zero kinds dropped.
 
-    counts: (report, kind, n); reports: (report), few rows.
+    counts: (report, kind, n); reports: (report). Reports are numbered; each kind's counts
+    are put at their numbers, so nothing is made for reports that lack it but a zero.
     """
-    # kinds and reports are both few: names of errors or tiers, and one report a batch
-    grid = counts.where("n > 0").select(kind).distinct().crossJoin(reports.select("report").distinct())
-    full = grid.join(counts, [kind, "report"], "left").select(kind, "report", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return full.groupBy(kind).agg(F.transform(F.sort_array(F.collect_list(F.struct("report", "n"))), lambda x: x["n"]).alias("counts"))
+    # one row a batch report: the order is global by nature, the table small beside the scans
+    order = reports.select("report").distinct().withColumn("at", F.row_number().over(Window.orderBy("report")))
+    known = counts.where("n > 0").join(order, "report").groupBy(kind).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("of"))
+    size = order.agg(F.max("at").alias("size"))  # one row
+    full = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.coalesce(F.try_element_at("of", i), F.lit(0)).cast("long"))
+    return known.join(F.broadcast(size)).select(kind, full.alias("counts"))
+
+
+def confidence_trend(history: DataFrame) -> DataFrame:
+    """Mean and range of the reports' mean confidences; no row if there are fewer than two reports or all are 0.
+
+    history: (report, mean_confidence), an absent mean counting as 0.
+    """
+    mean = F.coalesce("mean_confidence", F.lit(0.0))
+    out = history.agg(F.count("*").alias("reports"), F.avg(mean).alias("avg_confidence"), F.min(mean).alias("min_confidence"), F.max(mean).alias("max_confidence"), F.max(mean != 0).alias("_any"))
+    return out.where("reports >= 2 AND _any").drop("_any")
+
+
+def log_summary(files: DataFrame, *by: str) -> DataFrame:
+    """What a finished run logs: counts, success rate, time in all and a file, and methods with their counts by name."""
+    good = F.col("status") == SUCCESS
+    total = files.groupBy(*by).agg(
+        F.count("*").alias("total_files"),
+        F.count_if(good).alias("successful"),
+        F.count_if(~good).alias("failed"),
+        (100 * ratio(F.count_if(good), F.count("*"))).alias("success_rate_pct"),
+        F.sum("proc_sec").alias("total_sec"),
+        ratio(F.sum("proc_sec"), F.count("*")).alias("avg_sec"),
+    )
+    methods = files.groupBy(*by, "method").agg(F.count("*").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("method", "n"))).alias("methods"))
+    return total.join(methods, list(by))
+
+
+def methods_by_time(efficiency: DataFrame) -> DataFrame:
+    """Methods in the order of a run report: most seconds in all first, equals by name; place counts from 1."""
+    # one row a method
+    return efficiency.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total_sec"), "ocr_method"))).orderBy("place")
+
+
+def methods_by_accuracy(accuracy: DataFrame) -> DataFrame:
+    """Methods in the order of the chart: least accurate first, equals by name; place counts from 1."""
+    return accuracy.withColumn("place", F.row_number().over(Window.orderBy("accuracy", "method"))).orderBy("place")
 
 
 def shares(counts: DataFrame, kind: str) -> DataFrame:

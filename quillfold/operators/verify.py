@@ -54,6 +54,51 @@ def summary(verified: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("accuracy", F.coalesce(F.try_divide(F.col("passed").cast("double"), "total_verified"), F.lit(0.0)))
 
 
+#: Tier of a file without metadata, and of one whose metadata have no reason: fixed values.
+UNKNOWN_TIER, NO_REASON = "unknown (check smart_filing logs)", "kept: valid"
+
+
+def verify_report(truth: DataFrame, rows: DataFrame, enhanced: DataFrame | None = None, validation: ValidationConfig = ValidationConfig()) -> DataFrame:
+    """Ground truth found in a text report, with confidence and tier from the run's metadata.
+
+    truth: (scan_id, job_number); rows: (report, scan_id, job), as report_table gives them;
+    enhanced: (report, scan_id, confidence, reason), as enhanced_files does, or none. Scans
+    that a report lacks are left out of it; scans without metadata get 0.0 and UNKNOWN_TIER.
+    """
+    out = truth.select("scan_id", F.col("job_number").alias("expected")).join(rows.select("report", "scan_id", F.col("job").alias("actual")), "scan_id")
+    if enhanced is None:
+        out = out.withColumn("confidence", F.lit(0.0)).withColumn("tier", F.lit(UNKNOWN_TIER))
+    else:
+        meta = enhanced.select("report", "scan_id", F.coalesce("confidence", F.lit(0.0)).alias("_confidence"), F.coalesce("reason", F.lit(NO_REASON)).alias("_tier"))
+        out = out.join(meta, ["report", "scan_id"], "left")
+        out = out.withColumn("confidence", F.coalesce("_confidence", F.lit(0.0))).withColumn("tier", F.coalesce("_tier", F.lit(UNKNOWN_TIER))).drop("_confidence", "_tier")
+    passed = T.comparable(F.col("expected")) == T.comparable(F.col("actual"))
+    out = out.withColumn("passed", F.coalesce(passed, F.lit(False)))
+    return out.withColumn("error_type", F.when(~F.col("passed"), category(F.col("expected"), F.col("actual"), validation)))
+
+
+def report_summary(results: DataFrame, totals: DataFrame, failures: DataFrame) -> DataFrame:
+    """Counters of each report: verified, passed, errors, and accuracy by the whole batch where its size is known.
+
+    results: verify_report's; totals: (report, total); failures: (report, failures).
+    """
+    conf = F.col("confidence")
+    out = results.groupBy("report").agg(
+        F.count("*").alias("total_verified"),
+        F.count_if("passed").alias("passed"),
+        F.count_if(~F.col("passed")).alias("verification_errors"),
+        F.avg(conf).alias("mean_confidence"),
+        F.min(conf).alias("min_confidence"),
+        F.max(conf).alias("max_confidence"),
+        F.count_if(conf < 0.70).alias("low_confidence"),
+    )
+    out = out.join(totals.select("report", F.col("total").alias("total_in_batch")), "report", "left").join(failures.select("report", F.col("failures").alias("extraction_failures")), "report", "left")
+    out = out.withColumn("extraction_failures", F.coalesce("extraction_failures", F.lit(0)))
+    out = out.withColumn("total_errors", F.col("verification_errors") + F.col("extraction_failures"))
+    by_checks = F.coalesce(F.try_divide(F.col("passed").cast("double"), "total_verified"), F.lit(0.0))
+    return out.withColumn("accuracy", F.when(F.col("total_in_batch") > 0, (F.col("total_in_batch") - F.col("total_errors")) / F.col("total_in_batch").cast("double")).otherwise(by_checks))
+
+
 def histogram(verified: DataFrame, column: str, *by: str) -> DataFrame:
     return verified.groupBy(*by, column).agg(F.count("*").alias("n"))
 

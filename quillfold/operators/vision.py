@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillfold.config import FusionConfig, TrustConfig
 from quillfold.operators import kernels as K
+from quillfold.sources.pictures import decode, encode_png
 
 LONGEST_PAGE, LONGEST_READ = 6000, 1200
 
@@ -28,6 +30,14 @@ class Rasteriser(Protocol):
     def __call__(self, name: str, content: bytes) -> np.ndarray | None: ...
 
 
+def decoded(name: str, content: bytes) -> np.ndarray | None:
+    """The rasteriser of plain pictures (PNG, PNM, BMP); none for other files."""
+    try:
+        return decode(content)
+    except ValueError:
+        return None
+
+
 class Detector(Protocol):
     def __call__(self, page: np.ndarray) -> list[tuple[tuple[int, int, int, int], float]]: ...
 
@@ -155,19 +165,23 @@ EXTRACTED = (
 )
 
 
-_BUILT: dict[tuple[str, str], Extractor] = {}
+#: Extractors of this Python worker, by the call of extract() that they belong to.
+_BUILT: dict[str, Extractor] = {}
+KEPT = 4
 
 
-def _built(make: Callable[[], Extractor]) -> Extractor:
-    """The extractor of this Python worker: models load once."""
-    key = (make.__module__, make.__qualname__)
+def _built(key: str, make: Callable[[], Extractor]) -> Extractor:
+    """The extractor of one call: models load once in a worker, which keeps those of the last few calls."""
     if key not in _BUILT:
+        while len(_BUILT) >= KEPT:
+            del _BUILT[next(iter(_BUILT))]
         _BUILT[key] = make()
     return _BUILT[key]
 
 
 def extract(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     """Extraction results of files (path, content). make() builds the extractor in each worker, once."""
+    call = uuid.uuid4().hex
 
     def one(path: str, content: bytes, e: Extractor) -> dict:
         began, error = time.perf_counter(), None
@@ -197,11 +211,24 @@ def extract(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([one(p, c, _built(make)) for p, c in zip(batch["path"], batch["content"], strict=True)])
+            yield pd.DataFrame([one(p, c, _built(call, make)) for p, c in zip(batch["path"], batch["content"], strict=True)])
 
     return files.select("path", "content").mapInPandas(run, EXTRACTED)
 
 
+@F.udtf(returnType="method string, height int, width int, red double, image binary")
+class EnhanceMethods:
+    """A row for each enhancement of a picture (PNG, PNM or BMP); what can't be read has no rows."""
+
+    def eval(self, content: bytes):
+        try:
+            page = decode(content)
+        except ValueError:
+            return
+        for name, image in K.enhance_all(page):
+            yield name, image.shape[0], image.shape[1], K.red_coverage(image), encode_png(image)
+
+
 def red_pixels(h: Column, s: Column, v: Column) -> Column:
     """Whether a pixel is red ink, as an expression over rows of pixels."""
     return (h.between(0, 10) | h.between(170, 180)) & (s >= 100) & (v >= 100)

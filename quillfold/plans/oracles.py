@@ -335,7 +335,7 @@ def _crop(a: str, least: tuple[int, int], share: tuple[float, float]) -> str:
     return f"greatest(0, x1 - {px}) AS {a}_x1, greatest(0, y1 - {py}) AS {a}_y1, least(1000, x2 + {px}) AS {a}_x2, least(700, y2 + {py}) AS {a}_y2"
 
 
-sql("crop_boxes", f"SELECT l_orderkey, box, {_crop('t', (10, 10), (0.05, 0.05))}, {_crop('d', (50, 30), (0.8, 0.4))} FROM boxes WHERE l_orderkey % 10 = 0", BOXES.strip())
+sql("crop_boxes", f"SELECT l_orderkey, box, {_crop('t', (10, 10), (0.05, 0.05))}, {_crop('d', (50, 30), (0.8, 0.4))} FROM boxes", BOXES.strip())
 PIXELS = "px AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS y, l_partkey % 5 AS x, l_partkey % 181 AS hue, (l_suppkey * 13) % 256 AS sat, (l_partkey * 11) % 256 AS val FROM lineitem)"
 sql("red_coverage", "SELECT l_orderkey, c AS coverage, c > 0.01 AS has_red FROM (SELECT l_orderkey, round(avg(CASE WHEN (hue <= 10 OR hue >= 170) AND sat >= 100 AND val >= 100 THEN 1.0 ELSE 0.0 END), 6) AS c FROM px WHERE hue BETWEEN 0 AND 180 GROUP BY 1)", PIXELS)
 _VAR = lambda c: f"(SELECT l_orderkey, var_pop(s) AS v FROM (SELECT l_orderkey, {c}, sum(CASE WHEN val < 128 THEN 255 ELSE 0 END) AS s FROM px GROUP BY 1, 2) GROUP BY 1)"
@@ -350,3 +350,75 @@ SELECT batch, count(*) FILTER ({CHECKED}) AS total_verified, count(*) FILTER (ou
        count(*) FILTER (outcome = 'extraction_failure') AS extraction_failures, round(coalesce(count(*) FILTER (outcome = 'match') / CAST(nullif(count(*) FILTER ({CHECKED}), 0) AS DOUBLE), 0.0), 6) AS accuracy
 FROM (SELECT s.batch, CASE WHEN s.has_red OR f.corrected_job = 'failed' THEN 'extraction_failure' WHEN s.scan_idx % 10 = 0 THEN 'unverified' ELSE {_category("s.true_job", "f.corrected_job")} END AS outcome
       FROM scan s JOIN filed_all f ON s.scan_idx = f.scan_idx) GROUP BY 1""", *ALL_TIERS, recursive=True)
+
+# --- reports against ground truth ---
+META = """
+meta AS (SELECT CAST(batch AS VARCHAR) AS report, lower(split_part(filename, '.', 1)) AS scan_id, raw_job AS job, k, scan_idx,
+                CASE WHEN k % 2 = 1 THEN confidence / 2 ELSE confidence END AS confidence,
+                CASE WHEN raw_job = 'failed' THEN 'no_correction_found' ELSE 'kept: valid' END || ' ' || (1 + k % 2) AS reason FROM scan WHERE k % 5 <> 0)
+"""
+RESULTS = f"""
+results AS (
+  SELECT CAST(s.batch AS VARCHAR) AS report, split_part(s.filename, '.', 1) AS scan_id, s.true_job AS expected, s.raw_job AS actual, s.raw_job = s.true_job AS passed,
+         coalesce(m.confidence, 0.0) AS confidence, coalesce(m.reason, 'unknown (check smart_filing logs)') AS tier,
+         CASE WHEN s.raw_job <> s.true_job THEN {_category("s.true_job", "s.raw_job")} END AS error_type
+  FROM scan s LEFT JOIN meta m ON s.scan_idx = m.scan_idx WHERE s.scan_idx % 10 <> 0)
+"""
+V4 = (META.strip(), RESULTS.strip())
+sql("enhanced_files", "SELECT report, scan_id, job, round(confidence, 6) AS confidence, reason FROM meta", META.strip())
+sql("report_verification", "SELECT report, scan_id, expected, actual, passed, round(confidence, 6) AS confidence, tier, error_type FROM results", *V4)
+sql("report_verification_summary", """
+SELECT r.report, CAST(500 AS BIGINT) AS total_in_batch, total_verified, passed, verification_errors, lost AS extraction_failures, verification_errors + lost AS total_errors, low_confidence,
+       mean_confidence, min_confidence, max_confidence, round((500 - verification_errors - lost) / CAST(500 AS DOUBLE), 6) AS accuracy
+FROM (SELECT report, count(*) AS total_verified, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS verification_errors, count(*) FILTER (confidence < 0.70) AS low_confidence,
+             round(avg(confidence), 6) AS mean_confidence, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence FROM results GROUP BY 1) r
+JOIN (SELECT CAST(batch AS VARCHAR) AS report, count(*) FILTER (raw_job = 'failed') AS lost FROM scan GROUP BY 1) l ON r.report = l.report""", *V4)
+sql("confidence_trend", "SELECT count(*) AS reports, round(avg(m), 6) AS avg_confidence, round(min(m), 6) AS min_confidence, round(max(m), 6) AS max_confidence FROM (SELECT batch, avg(confidence) AS m FROM scan GROUP BY 1) HAVING count(*) >= 2 AND max(m) > 0")
+
+# --- ordered reports ---
+sql("methods_by_time", "SELECT row_number() OVER (ORDER BY sum(proc_sec) DESC, method) AS place, method AS ocr_method, count(*) AS files FROM filed WHERE status <> 'Failed' GROUP BY method", FILED.strip())
+sql("methods_by_accuracy", "SELECT row_number() OVER (ORDER BY count(*) FILTER (NOT corrected) / CAST(count(*) AS DOUBLE), method) AS place, method, count(*) AS total, count(*) FILTER (NOT corrected) AS correct FROM state WHERE NOT pending GROUP BY method", REVIEWED.strip())
+sql("log_summary", """
+SELECT t.batch, total_files, successful, failed, success_pct, total_sec, avg_sec, methods
+FROM (SELECT batch, count(*) AS total_files, count(*) FILTER (status = 'Success') AS successful, count(*) FILTER (status <> 'Success') AS failed,
+             round(100.0 * count(*) FILTER (status = 'Success') / count(*), 6) AS success_pct, round(sum(proc_sec), 6) AS total_sec, round(sum(proc_sec) / count(*), 6) AS avg_sec FROM filed GROUP BY 1) t
+JOIN (SELECT batch, string_agg(method || ':' || n, ',' ORDER BY method) AS methods FROM (SELECT batch, method, count(*) AS n FROM filed GROUP BY 1, 2) GROUP BY 1) m ON t.batch = m.batch""", FILED.strip())
+sql("report_rows", """
+SELECT batch, section, row_number() OVER (PARTITION BY batch, section ORDER BY filename) AS place,
+       CASE section WHEN 'filed' THEN rpad(substr(stem, 1, 23), 23, ' ') || ' | ' || rpad(job, 20, ' ') || ' | ' || rpad(CASE WHEN s < 60 THEN printf('%.2fs', s) ELSE printf('%dm %.2fs', CAST(floor(s / 60) AS BIGINT), s - floor(s / 60) * 60) END, 12, ' ') || ' | '
+       ELSE rpad(substr(stem, 1, 21), 21, ' ') || ' | System Guess: ' || rpad(coalesce(job, 'No Guess'), 15, ' ') || ' | Reason: ' || error END AS line
+FROM (SELECT batch, filename, job, error, floor(proc_sec) AS s, CASE status WHEN 'Success' THEN 'filed' ELSE 'held' END AS section,
+             CASE WHEN k % 2 = 0 THEN 'a long name of a folder ' ELSE '' END || split_part(filename, '.', 1) AS stem FROM filed WHERE status <> 'Failed')""", FILED.strip())
+sql("pending_queue", f"""
+SELECT filename, filename AS scan_id, CASE WHEN k % 3 = 0 THEN '' ELSE raw_job END AS system_guess, CASE WHEN k % 3 = 0 THEN 0.0 ELSE confidence END AS confidence,
+       CASE WHEN k % 3 = 0 THEN 'unknown' ELSE {METHOD} END AS method_used, CASE WHEN k % 3 = 0 THEN 'Unknown' ELSE CAST(batch AS VARCHAR) END AS batch_id FROM scan WHERE k % 4 = 0""")
+sql("latest_crops", "SELECT filename, CASE WHEN k % 4 > 0 THEN 'debug/' || split_part(filename, '.', 1) || '_micro_' || (k % 4) || '.jpg' END AS crop FROM scan")
+sql("structural_check", r"SELECT scan_idx, text, regexp_full_match(text, '\d{6}(-\d{2})?') AS structural FROM noisy", NOISY.strip())
+sql("report_names", "SELECT DISTINCT batch, 'batch ' || batch || CASE WHEN batch % 2 = 0 THEN '' ELSE '_run_data_2' END AS name FROM scan")
+
+# --- stored tables ---
+sql("metrics_history", f"""
+SELECT CAST(batch AS VARCHAR) AS batch, total_in_batch, total_in_batch AS verified_files, CAST(0 AS BIGINT) AS verified_trusted_count, CAST(0 AS BIGINT) AS human_corrections, CAST(0 AS BIGINT) AS theoretical_auto_count,
+       CAST(0 AS BIGINT) AS silent_failures, total_in_batch AS confidence_count, 0.0 AS theoretical_automation_pct, round(100 * {ACC}, 6) AS accuracy_pct, 0.0 AS silent_failure_pct,
+       round(m * total_in_batch, 6) AS confidence_sum, 1.0 AS avg_typo_similarity, 1.0 AS parallel_speedup
+FROM summary JOIN (SELECT batch AS b, avg(confidence) AS m FROM scan GROUP BY 1) ON b = batch WHERE batch % 2 = 0
+UNION ALL
+SELECT CAST(batch AS VARCHAR), total_in_batch, verified_files, verified_trusted_count, human_corrections, theoretical_auto_count, silent_failures, cc, round(100 * theoretical_auto_count / CAST(total_in_batch AS DOUBLE), 6),
+       round(100 * {_D('(verified_files - human_corrections)', 'verified_files')}, 6), round(100 * {_D('silent_failures', 'verified_trusted_count')}, 6), round(cs, 6), round(sim, 6), 1.0
+FROM review WHERE batch % 2 = 1""", *V3, *R2)
+sql("stored_metrics", "SELECT batch, total_in_batch, verified_files, human_corrections FROM review", *R2)
+sql("latest_report", "SELECT batch, total_in_batch, ok0 AS initial_success FROM review ORDER BY run_at DESC LIMIT 1", *R2)
+sql("ground_truth_csv", "SELECT split_part(filename, '.', 1) AS scan_id, true_job AS job_number, CASE WHEN k % 7 = 0 THEN 'seen' ELSE '' END AS notes FROM scan WHERE k % 11 <> 0")
+sql("latest_corrections", """
+SELECT CAST(batch AS VARCHAR) AS batch, filename, CASE WHEN k % 4 = 0 THEN true_job ELSE substr(true_job, 1, 7) || lpad(CAST(t AS VARCHAR), 2, '0') END AS truth
+FROM (SELECT *, CASE WHEN k % 4 > 0 AND raw_job = substr(true_job, 1, 7) || lpad(CAST((1 + k % 4) * 11 AS VARCHAR), 2, '0') THEN k % 4 * 11 ELSE (1 + k % 4) * 11 END AS t FROM scan WHERE k % 3 = 0)
+WHERE NOT (k % 4 = 0 AND raw_job = true_job)""")
+
+# --- pictures ---
+sql("page_turns", "SELECT scan_idx, k % 2 = 1 AS vertical, CAST(CASE k % 4 WHEN 1 THEN 270 WHEN 3 THEN 90 ELSE 0 END AS BIGINT) AS angle FROM scan")
+sql("red_marks", "SELECT scan_idx, round(k / CAST(2000 AS DOUBLE), 6) AS coverage, k > 20 AS red FROM scan")
+sql("enhanced_pictures", "SELECT b.batch, m.method, 200 AS height, 400 AS width, false AS red FROM (SELECT DISTINCT batch FROM scan WHERE batch % 5 <> 4) b, (VALUES ('hsv'), ('clahe'), ('blue_channel'), ('morphological'), ('combined')) AS m(method)")
+sql("extracted_pages", """
+SELECT 'page_' || batch || '.png' AS filename, CASE WHEN ok THEN '250' || lpad(CAST(1 + batch % 20 AS VARCHAR), 3, '0') || '-01' END AS job_number,
+       CASE WHEN ok THEN 'Success' ELSE 'Failure: image_load_failed' END AS status, CASE WHEN NOT ok THEN 'image_load_failed' END AS error, ok AS sure
+FROM (SELECT DISTINCT batch, batch % 5 <> 4 AS ok FROM scan)""")

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillfold import schemas
 from quillfold.functions import scoring as S
 from quillfold.functions import text as T
 from quillfold.functions.validate import Validator, clean, is_failed, strip_exclusions
-from quillfold.operators import filing, metrics, routing, verify, vision
+from quillfold.operators import filing, metrics, review, routing, verify, vision
+from quillfold.plans import pages
 from quillfold.plans.scan_log import scan_log
 from quillfold.sources import io
+from quillfold.streaming import hitl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -440,7 +443,7 @@ def box_geometry_filter(spark, sf_dir):
 
 @query
 def crop_boxes(spark, sf_dir):
-    df = _boxes(spark, sf_dir).where("l_orderkey % 10 = 0")
+    df = _boxes(spark, sf_dir)
     cols = [F.col(c) for c in ("x1", "y1", "x2", "y2", "w", "h")]
     df = df.withColumn("t", vision.crop_box(*cols, wide=False)).withColumn("d", vision.crop_box(*cols, wide=True))
     return df.select("l_orderkey", "box", *[F.col(f"{a}.{b}").alias(f"{a}_{b}") for a in "td" for b in ("x1", "y1", "x2", "y2")])
@@ -546,3 +549,178 @@ def filed_and_verified(spark, sf_dir):
     df = log.join(fixed, ["batch", "scan_idx"]).withColumn("method", method_of(F.col("event_type")))
     s = verify.summary(verify.verify(routing.filed_status(df), truth(spark, sf_dir)), "batch")
     return s.select("batch", "total_verified", "passed", "verification_errors", "extraction_failures", r6("accuracy").alias("accuracy"))
+
+
+def _enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metadata of four scans in five, a batch a report; scans with k odd are in it twice."""
+    df = filed(spark, sf_dir).where("k % 5 <> 0").withColumn("n", F.explode(F.sequence(F.lit(1), 1 + (F.col("k") % 2).cast("int"))))
+    conf = F.when(F.col("n") == 1, F.col("confidence")).otherwise(F.col("confidence") / 2)
+    f = F.struct(F.upper("filename").alias("filename"), F.col("corrected_job"), conf.alias("confidence"), F.concat("reason", F.lit(" "), F.col("n").cast("string")).alias("reason"))
+    rows = df.groupBy(F.col("batch").cast("string").alias("report")).agg(F.sort_array(F.collect_list(F.struct("scan_idx", "n", f.alias("f")))).alias("files"))
+    return io.enhanced_files(rows.select("report", F.transform("files", lambda x: x["f"]).alias("files")))
+
+
+@query
+def enhanced_files(spark, sf_dir):
+    """The last row of each scan of a report."""
+    return _enhanced(spark, sf_dir).select("report", "scan_id", "job", r6("confidence").alias("confidence"), "reason")
+
+
+def _report_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = io.report_table(_report_lines(spark, sf_dir)).withColumnRenamed("file", "report")
+    return verify.verify_report(truth(spark, sf_dir), rows, _enhanced(spark, sf_dir))
+
+
+@query
+def report_verification(spark, sf_dir):
+    """Ground truth against the tables of text reports, with the metadata of the runs."""
+    return _report_results(spark, sf_dir).select("report", "scan_id", "expected", "actual", "passed", r6("confidence").alias("confidence"), "tier", "error_type")
+
+
+@query
+def report_verification_summary(spark, sf_dir):
+    lines = _report_lines(spark, sf_dir)
+    lost = io.report_failures(lines).groupBy(F.col("file").alias("report")).agg(F.count("*").alias("failures"))
+    s = verify.report_summary(_report_results(spark, sf_dir), io.report_total(lines).withColumnRenamed("file", "report"), lost)
+    return s.select("report", "total_in_batch", "total_verified", "passed", "verification_errors", "extraction_failures", "total_errors", "low_confidence", *[r6(c).alias(c) for c in ("mean_confidence", "min_confidence", "max_confidence", "accuracy")])
+
+
+@query
+def confidence_trend(spark, sf_dir):
+    t = metrics.confidence_trend(verify.summary(verified(spark, sf_dir), "batch").select(F.col("batch").alias("report"), "mean_confidence"))
+    return t.select("reports", *[r6(c).alias(c) for c in ("avg_confidence", "min_confidence", "max_confidence")])
+
+
+@query
+def methods_by_time(spark, sf_dir):
+    return metrics.methods_by_time(metrics.method_efficiency(filed(spark, sf_dir))).select("place", "ocr_method", "files")
+
+
+@query
+def methods_by_accuracy(spark, sf_dir):
+    return metrics.methods_by_accuracy(metrics.method_accuracy(reviewed(spark, sf_dir))).select("place", "method", "total", "correct")
+
+
+@query
+def log_summary(spark, sf_dir):
+    s = metrics.log_summary(filed(spark, sf_dir), "batch")
+    methods = F.array_join(F.transform("methods", lambda m: F.concat(m["method"], F.lit(":"), m["n"].cast("string"))), ",")
+    return s.select("batch", "total_files", "successful", "failed", r6("success_rate_pct").alias("success_pct"), r6("total_sec").alias("total_sec"), r6("avg_sec").alias("avg_sec"), methods.alias("methods"))
+
+
+@query
+def report_rows(spark, sf_dir):
+    """The lines of a run's report, in its order; names are cut to the width of their column."""
+    df = filed(spark, sf_dir).withColumn("original_filename", F.concat(F.lit("a long name of a folder "), "filename")).withColumn("proc_sec", F.floor("proc_sec").cast("double"))
+    df = df.withColumn("original_filename", F.when(F.col("k") % 2 == 0, F.col("original_filename")))
+    return review.report_rows(df, "batch")
+
+
+@query
+def pending_queue(spark, sf_dir):
+    """Held files with the guess of their last report; some are in none."""
+    log = scan_log(spark, sf_dir)
+    held = log.where("k % 4 = 0").select("filename")
+    guesses = log.where("k % 3 <> 0").select("filename", F.when(F.col("k") % 8 == 0, F.concat(F.lit(" "), "raw_job")).otherwise("").alias("corrected_job"), "raw_job", "confidence", method_of(F.col("event_type")).alias("method"), F.col("batch").cast("string").alias("batch_id"))
+    return review.pending_queue(held, guesses)
+
+
+@query
+def latest_crops(spark, sf_dir):
+    log = scan_log(spark, sf_dir)
+    stem = F.split_part("filename", F.lit("."), F.lit(1))
+    crops = log.where("k % 4 > 0").select(F.explode(F.sequence(F.lit(1), (F.col("k") % 4).cast("int"))).alias("i"), stem.alias("stem"))
+    crops = crops.select(F.concat(F.lit("debug/"), "stem", F.lit("_micro_"), F.col("i").cast("string"), F.lit(".jpg")).alias("path"))
+    return review.latest_crops(log.select("filename"), crops)
+
+
+@query
+def structural_check(spark, sf_dir):
+    df = noisy(spark, sf_dir)
+    return df.select("scan_idx", "text", V.is_structural(F.col("text")).alias("structural"))
+
+
+@query
+def report_names(spark, sf_dir):
+    name = F.concat(F.lit("batch "), F.col("batch").cast("string"), F.when(F.col("batch") % 2 == 0, "_run_data").otherwise("_run_data_2"))
+    return scan_log(spark, sf_dir).select("batch", T.batch_of_report(name).alias("name")).distinct()
+
+
+@query
+def metrics_history(spark, sf_dir):
+    """Stored metrics of both dialects as one history: even batches in the verifier's, odd ones in the dashboard's."""
+    v = verify.summary(verified(spark, sf_dir), "batch").where("batch % 2 = 0")
+    a = v.select(F.to_json(F.struct(F.struct("total_in_batch", "accuracy").alias("summary"), F.struct(F.col("mean_confidence").alias("mean")).alias("confidence_stats"), F.struct(F.col("batch").cast("string").alias("batch_id")).alias("batch_info"))).alias("j"))
+    m = metrics.review_metrics(reviewed(spark, sf_dir), "batch").where("batch % 2 = 1")
+    kept = ["total_in_batch", "verified_files", "verified_trusted_count", "human_corrections", "theoretical_automation", "silent_failures", "actual_accuracy", "silent_failure_rate", "avg_typo_similarity"]
+    b = m.select(F.to_json(F.struct(F.struct(*kept).alias("summary"), F.struct(F.col("confidence_sum").alias("sum"), F.col("confidence_count").alias("count")).alias("confidence_stats"), F.struct(F.col("batch").cast("string").alias("batch_id")).alias("batch_info"))).alias("j"))
+    stored = a.union(b).select(F.from_json("j", schemas.METRICS).alias("m")).select("m.*").withColumn("report", F.lit("r"))
+    h = io.history(stored)
+    counts = ["batch", "total_in_batch", "verified_files", "verified_trusted_count", "human_corrections", "theoretical_auto_count", "silent_failures", "confidence_count"]
+    return h.select(*counts, *[r6(c).alias(c) for c in ("theoretical_automation_pct", "accuracy_pct", "silent_failure_pct", "confidence_sum", "avg_typo_similarity", "parallel_speedup")])
+
+
+@query
+def stored_metrics(spark, sf_dir):
+    """Metrics written as JSON by batch, some batches twice, and read again."""
+    path = io.new_folder(spark)
+    m = metrics.review_metrics(reviewed(spark, sf_dir), "batch").select("batch", "total_in_batch", "verified_files", "human_corrections")
+    io.write_json(m.withColumn("verified_files", F.lit(-1).cast("long")), path)
+    io.write_json(m, path)
+    return spark.read.schema("total_in_batch long, verified_files long, human_corrections long, batch long").json(path)
+
+
+@query
+def latest_report(spark, sf_dir):
+    """The last run's row, in place of a copy named latest."""
+    return io.latest(batch_history(spark, sf_dir).select("run_at", "batch", "total_in_batch", "initial_success")).select("batch", "total_in_batch", "initial_success")
+
+
+@query
+def ground_truth_csv(spark, sf_dir):
+    """Ground truth through CSV files: blanks around values, suffixes, blank rows, the last of repeated ids."""
+    path = io.new_folder(spark)
+    log = scan_log(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.lit(1), 1 + (F.col("k") % 3).cast("int"))))
+    job = F.when(F.col("k") % 11 == 0, F.lit(None)).when(F.col("n") > F.col("k") % 3, F.concat(F.lit(" "), "true_job", F.lit(" "))).otherwise(F.lit("old"))
+    rows = log.select("batch", "scan_idx", "n", F.when(F.col("k") % 2 == 0, F.upper("filename")).otherwise(F.split_part("filename", F.lit("."), F.lit(1))).alias("scan_id"), job.alias("job_number"), F.when(F.col("k") % 7 == 0, "seen").alias("notes"))
+    rows = rows.repartition("batch").sortWithinPartitions("batch", "scan_idx", "n").select("batch", "scan_id", "job_number", "notes")
+    rows.write.partitionBy("batch").option("header", True).csv(path)
+    return io.ground_truth(spark, path)
+
+
+@query
+def latest_corrections(spark, sf_dir):
+    """The last of up to three corrections of a file; one that confirms the guess is none."""
+    log = scan_log(spark, sf_dir).where("k % 3 = 0").withColumn("n", F.explode(F.sequence(F.lit(1), 1 + (F.col("k") % 4).cast("int"))))
+    final = F.when(F.col("n") == 1, F.concat(F.lit(" "), "true_job")).otherwise(F.concat(F.substring("true_job", 1, 7), F.lpad((F.col("n") * 11).cast("string"), 2, "0")))
+    reviews = log.select("filename", F.col("raw_job").alias("system_guess"), final.alias("final"), "confidence", method_of(F.col("event_type")).alias("method_used"), F.col("batch").cast("string").alias("batch_id"), F.concat(F.lit("2026-01-0"), F.col("n").cast("string")).alias("harvested_at"))
+    return hitl.latest_corrections(hitl.corrections_of(reviews)).select("batch", "filename", "truth")
+
+
+@query
+def page_turns(spark, sf_dir):
+    """Pictures of pages, decoded: whether text runs down the page, and the turn that levels it."""
+    return pages.turns(pages.lined(scan_log(spark, sf_dir)))
+
+
+@query
+def red_marks(spark, sf_dir):
+    """Pictures of crops, decoded: the part that is red ink."""
+    out = pages.red(pages.marked(scan_log(spark, sf_dir)))
+    return out.select("scan_idx", r6("coverage").alias("coverage"), "red")
+
+
+@query
+def enhanced_pictures(spark, sf_dir):
+    """Each batch's page under every enhancement, a row a method."""
+    made = pages.barred(scan_log(spark, sf_dir).select("batch").distinct()).where("readable")
+    rows = made.select("batch", "content").lateralJoin(vision.EnhanceMethods(F.col("content").outer()))
+    return rows.select("batch", "method", "height", "width", (F.col("red") > 0).alias("red"))
+
+
+@query
+def extracted_pages(spark, sf_dir):
+    """The whole cascade over a page a batch, with a reader that counts bars; every fifth can't be read."""
+    made = pages.barred(scan_log(spark, sf_dir).select("batch").distinct())
+    out = vision.extract(made.select("path", "content"), pages.bar_reader)
+    return out.select("filename", "job_number", "status", "error", (F.col("confidence") > 0).alias("sure"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,18 @@ from quillfold.functions import text as T
 SUFFIXES = ("pdf", "jpg", "jpeg", "png")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own that all executors share: under spark.checkpoint.dir, on one machine else a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quillfold-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        root = "file://" + root
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a folder (not below), by suffix in any case: path, modified, bytes, content."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
