@@ -5,8 +5,9 @@ unified, punctuation and spacing folded - and its SHA-256 looked up among those
 licences, which are made canonical by the same expression. Whole texts are joined, and
 each line on its own with the known notices that fit in a line.
 
-Built-in expressions only. The known texts are a fixed list, broadcast behind a check of
-its size; the lookup of whole texts adds no shuffle.
+Built-in expressions only. The known digests are broadcast behind a check of their size;
+the lookup of whole texts then adds no shuffle. Lines are looked up only if they begin as
+some known text can begin, which loses none.
 
 Cases: null text, or nothing left of it: no digest, no licence. Null doc_id and repeated
 rows: each row is returned. Two known texts with one canonical form: the id that sorts first.
@@ -14,10 +15,13 @@ rows: each row is returned. Two known texts with one canonical form: the id that
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfold.llm.scratch import BROADCAST_BYTES
+from quillfold.llm.scratch import BROADCAST_BYTES, Scratch
 
 # Equivalent spellings, as whole words after folding: fixed values (from, to).
 SPELLINGS = (
@@ -36,11 +40,15 @@ SPELLINGS = (
     ("https", "http"),
 )
 
-# Known texts: fixed values (id, text). Short licences in full, others by their usual notices.
-KNOWN = (
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+#: A line that says who holds the copyright, or since when. Prose on copyright and an item (c) are no such lines.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(copyright[ \t]*(\(c\)|©)|((copyright|\(c\)|©)[ \t:,<\[{]*)+(\d{4}|yyyy|year))[^\n]*$"
+
+# Full texts, one file each, under their identifiers: fixed values. A first paragraph of a
+# few words is a title that copies may leave out.
+FOLDER = Path(__file__).resolve().parent / "licenses"
+
+# Usual notices: fixed values (id, text).
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -56,45 +64,84 @@ KNOWN = (
 )
 
 
+def _full_texts() -> Iterator[tuple[str, str]]:
+    for file in sorted(FOLDER.glob("*.txt")):
+        text = file.read_text("utf-8")
+        title, _, rest = text.partition("\n\n")
+        yield file.stem, text
+        if len(title.split()) <= 9:
+            yield file.stem, rest
+
+
+def _known() -> tuple[tuple[str, str], ...]:
+    texts = (*_full_texts(), *NOTICES)
+    return (*texts, *((i, f"SPDX-License-Identifier: {i}") for i in sorted({i for i, _ in texts})))
+
+
+#: (id, text) of all known texts.
+KNOWN = _known()
+#: More first words of known texts than this aren't looked for; all lines then get a digest.
+FIRST_WORDS = 500
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _if_any(text: Column, words: Sequence[str], change: Callable[[Column], Column]) -> Column:
+    """change(text) where one of the words is in it: looking for a plain word costs far less than a pattern."""
+
+    def body(t: Column) -> Column:
+        some = F.lit(False)
+        for w in words:
+            some = some | F.contains(t, F.lit(w))
+        return F.when(some, change(t)).otherwise(t)
+
+    return _let(text, body)
+
+
 def canonical(text: Column) -> Column:
     """Canonical form of a licence text or notice; null stays null."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\n]*(copyright|\(c\)|©)[^\n]*$", "")
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\n]*all rights reserved[^\n]*$", "")
+    t = _if_any(F.lower(text), ("copyright", "(c)", "©"), lambda t: F.regexp_replace(t, COPYRIGHT_LINE, ""))
+    t = _if_any(t, ("all rights reserved",), lambda t: F.regexp_replace(t, r"(?m)^[^\p{L}\n]*all rights reserved[^\n]*$", ""))
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for old, new in SPELLINGS:
-        t = F.replace(t, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.regexp_replace(F.regexp_replace(t, r"^ +| +$", ""), " +", " ")
+        t = _if_any(t, (f" {old} ",), lambda t, old=old, new=new: F.replace(t, F.lit(f" {old} "), F.lit(f" {new} ")))
+    return F.trim(t)
 
 
 def digest(text: Column) -> Column:
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
-
-
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license_id), one row a digest."""
-    table = spark.createDataFrame(list(known), "license_id string, text string")
-    return table.select(digest(F.col("text")).alias("digest"), "license_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return _let(canonical(text), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
-#: Words of which every known notice has one: other lines need no digest.
-NOTICE_WORDS = r"(?i)licen[sc]|releas|public"
+def first_words(known: DataFrame) -> str | None:
+    """A pattern that any line has whose canonical form is a known one: how it can begin."""
+    first = F.split_part(canonical(F.col("text")), F.lit(" "), F.lit(1)).alias("w")
+    words = {r["w"] for r in known.select(first).where("w <> ''").distinct().limit(FIRST_WORDS + 1).collect()}
+    if len(words) > FIRST_WORDS:
+        return None
+    while more := {old.split()[0] for old, new in SPELLINGS if new.split()[0] in words} - words:
+        words |= more
+    return r"(?iu)^[^\p{L}\p{N}]*(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
 
 
-def license_scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None, notice_words: str = NOTICE_WORDS) -> DataFrame:
+def license_scan(spark: SparkSession, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license_id, notice_ids) for each row of docs (doc_id, text).
 
     license_id: the licence that the whole text is, else null; notice_ids: the licences
-    whose notices are lines of it, sorted. known: (digest, license_id), KNOWN by default;
-    notice_words: a pattern that every known notice holds.
+    whose notices are lines of it, sorted. known: (license_id, text), KNOWN by default.
     """
-    known = known_digests(spark) if known is None else known
+    known = spark.createDataFrame(list(KNOWN), "license_id string, text string") if known is None else known
+    notice_start = first_words(known)
+    known = known.select(digest(F.col("text")).alias("digest"), "license_id").where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = Scratch(spark).table(known)
     if known.count() * 200 <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = F.xxhash64("text").alias("th")
-    candidates = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(notice_words))))
+    lines = F.split("text", "\n")
+    candidates = F.array_distinct(lines if notice_start is None else F.filter(lines, lambda x: F.rlike(x, F.lit(notice_start))))
     lines = rows.select("doc_id", key, F.explode(candidates).alias("line")).select("doc_id", "th", digest(F.col("line")).alias("digest"))
     notices = lines.join(known, "digest").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("license_id")).alias("notice_ids"))
     whole = rows.select("doc_id", key, digest(F.col("text")).alias("digest")).join(known, "digest", "left")

@@ -11,14 +11,14 @@ import corpus_pipeline
 from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.decontaminate import contaminated
 from quillfold.llm.language_id import language_id
-from quillfold.llm.license_scan import KNOWN, NOTICE_WORDS, SPELLINGS, license_scan
+from quillfold.llm.license_scan import COPYRIGHT_LINE, KNOWN, SPELLINGS, license_scan
 from quillfold.llm.mixing import mix_sources
 from quillfold.llm.ngram_join import ngram_jaccard
-from quillfold.llm.quality_rules import LEAST_KEPT, LIMIT, SHARE, quality_rules
+from quillfold.llm.quality_rules import FLOOR, LEAST_KEPT, LIMIT, SHARE, quality_rules
 from quillfold.llm.scratch import Scratch
 from quillfold.llm.substring_dedup import substring_dedup
 from quillfold.llm.url_filter import BLOCKED_DOMAINS, BLOCKED_NAMES, judge_urls
-from quillfold.llm.warc import read_headers, verify, write_archive
+from quillfold.llm.warc import read_pages, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +78,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
     path = Scratch(spark).root
     write_archive(spark, pages, path)
-    stored = verify(spark, path).where("sound")
-    return read_headers(spark, path).join(stored, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -130,7 +129,7 @@ def _q(text: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     t = f"lower({text})"
-    t = rf"regexp_replace({t}, '(?m)^[^\p{{L}}\n]*(copyright|\(c\)|©)[^\n]*$', '', 'g')"
+    t = f"regexp_replace({t}, {_q(COPYRIGHT_LINE)}, '', 'g')"
     t = rf"regexp_replace({t}, '(?m)^[^\p{{L}}\n]*all rights reserved[^\n]*$', '', 'g')"
     t = rf"(' ' || regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' ')"
     for old, new in SPELLINGS:
@@ -147,8 +146,7 @@ WITH known AS (
 notices AS (
   SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notices FROM (
     SELECT DISTINCT doc_id, license_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l
-    JOIN known k ON sha256({_canonical_sql("line")}) = k.digest
-    WHERE regexp_matches(line, '{NOTICE_WORDS}')) GROUP BY doc_id)
+    JOIN known k ON sha256({_canonical_sql("line")}) = k.digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license_id, coalesce(n.notices, '') AS notices
 FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d
 LEFT JOIN known k ON d.digest = k.digest LEFT JOIN notices n ON d.doc_id = n.doc_id
@@ -167,7 +165,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY
 hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY 1),
 frequent AS (
   SELECT l.source, norm FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-  GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {LIMIT} AND count(DISTINCT doc_id) > {SHARE} * max(h.docs)),
+  GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > least({LIMIT}, greatest({FLOOR}, {SHARE} * max(h.docs)))),
 gone AS (SELECT doc_id, sum(words) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY 1),
 base AS (
   SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[ \t-\r]+', '', 'g')) AS word_chars,
