@@ -1,7 +1,7 @@
 """Language identification by n-gram filters with a language bitmask.
 
-A bit-sliced Bloom filter is a table of slots, each an integer with one bit per language.
-An n-gram of four characters sets its languages' bits in three slots; the AND of those
+A bit-sliced Bloom filter is a table of slots, each an integer with one bit per language
+(as many 64-bit words as the languages need). An n-gram of four characters sets its languages' bits in three slots; the AND of those
 slots names, for one n-gram, every language that contains it. Per document and language
 the hits are counted (a popcount over the document's n-grams), corrected for the filter's
 false positives, and the language with most decides.
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from quillfold.llm import words as W
 from quillfold.llm.scratch import Scratch
 
-#: Labelled texts a language that learning may read, and languages that fit in a slot.
+#: Labelled texts a language that learning may read.
 SAMPLE = 3000
-LANGUAGES = 64
+#: More distinct labels than this are no languages: an error.
+MOST_LABELS = 20_000
 #: An n-gram belongs to a language from this share of its n-grams: at most 1 / LEAST_RATE of them.
 LEAST_RATE = 2e-5
 #: ... and from this part of its greatest rate in any language.
@@ -117,30 +118,34 @@ class LanguageFilter:
 
     @classmethod
     def build(cls, names: list[str], grams: list[np.ndarray]) -> LanguageFilter:
-        kind = next(t for t, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= b)
+        kind = next((t for t, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= b), np.uint64)
         m = 1 << 12
         while m < min(1 << 20, 10 * max([1, *map(len, grams)])):
             m *= 2
-        slots = np.zeros(m, kind)
-        for bit, key in enumerate(grams):
+        slots = np.zeros((max(1, -(-len(names) // 64)), m), kind)
+        fill = np.zeros(len(names))
+        for i, key in enumerate(grams):
+            word, bit = divmod(i, 64)
             for p in cls.places(key, m):
-                slots[p] |= kind(1 << bit)
-        fill = np.array([((slots >> kind(b)) & kind(1)).mean() for b in range(len(names))])
+                slots[word][p] |= kind(1 << bit)
+            fill[i] = ((slots[word] >> kind(bit)) & kind(1)).mean()
         return cls(tuple(names), slots, fill**3)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         key, first, has = _grams(texts)
-        a, b, c = self.places(key, len(self.slots))
-        hit = self.slots[a] & self.slots[b] & self.slots[c]
+        a, b, c = self.places(key, self.slots.shape[1])
         n = np.diff(first)
         best = np.full(len(texts), -np.inf)
         pick = np.zeros(len(texts), int)
-        for bit in range(len(self.names)):
-            sums = np.r_[0, np.cumsum((hit >> hit.dtype.type(bit)) & hit.dtype.type(1), dtype=np.int64)]
-            f = self.false_rate[bit]
-            count = (sums[first[1:]] - sums[first[:-1]] - n * f) / max(1e-9, 1 - f)
-            pick[count > best] = bit
-            best = np.maximum(best, count)
+        for word, slots in enumerate(self.slots):
+            hit = slots[a] & slots[b] & slots[c]
+            for i in range(64 * word, min(64 * word + 64, len(self.names))):
+                bit = hit.dtype.type(i - 64 * word)
+                sums = np.r_[0, np.cumsum((hit >> bit) & hit.dtype.type(1), dtype=np.int64)]
+                f = self.false_rate[i]
+                count = (sums[first[1:]] - sums[first[:-1]] - n * f) / max(1e-9, 1 - f)
+                pick[count > best] = i
+                best = np.maximum(best, count)
         share = np.clip(best / np.maximum(n, 1), 0.0, 1.0)
         ok = has & (len(self.names) > 0)
         return [self.names[p] if o else UNKNOWN for p, o in zip(pick, ok, strict=True)], np.where(ok, share, 0.0).tolist()
@@ -149,22 +154,24 @@ class LanguageFilter:
 def learn(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE) -> LanguageFilter:
     """Learn from (doc_id, text, lang) rows; those with a null text or lang are left out.
 
-    At most about ``sample`` texts of each of the LANGUAGES most frequent languages are
-    read; what comes to the driver is at most 1 / LEAST_RATE n-grams a language.
+    At most about ``sample`` texts of each language are read; what comes to the driver is
+    at most 1 / LEAST_RATE n-grams a language, of MOST_LABELS languages at most.
     """
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    seen = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    seen = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(seen) > MOST_LABELS:
+        raise ValueError(f"lang has more than {MOST_LABELS} distinct values")
     names = sorted(r["lang"] for r in seen)
     if not names:
         return LanguageFilter.build([], [])
-    share = F.create_map(*[F.lit(x) for r in seen for x in (r["lang"], min(1.0, sample / r["n"]))])
+    share = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, sample / r["n"])) for r in seen], "lang string, share double"))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
+    chosen = labelled.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
     tally = chosen.mapInArrow(_tally, "lang string, gram long, c long").groupBy("gram", "lang").agg(F.sum("c").alias("c"))
     tally = Scratch(spark).table(tally)
-    total = F.create_map(*[F.lit(x) for r in tally.groupBy("lang").agg(F.sum("c").alias("n")).collect() for x in (r["lang"], float(r["n"]))])
-    rated = tally.select("gram", F.struct("lang", (F.col("c") / F.try_element_at(total, F.col("lang"))).alias("rate")).alias("by"))
-    # a gram has at most LANGUAGES entries
+    total = F.broadcast(tally.groupBy("lang").agg(F.sum("c").alias("total")))  # a row a language
+    rated = tally.join(total, "lang").select("gram", F.struct("lang", (F.col("c") / F.col("total")).alias("rate")).alias("by"))
+    # a gram has at most one entry a language
     high = rated.groupBy("gram").agg(F.collect_list("by").alias("by"), F.max("by.rate").alias("top"))
     common = F.filter("by", lambda x: (x["rate"] >= LEAST_RATE) & (x["rate"] >= LEAST_PART * F.col("top")))
     high = high.select("gram", F.transform(common, lambda x: x["lang"]).alias("langs"))
