@@ -1,13 +1,15 @@
 """Tables written between jobs, in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests,
-one machine) a temporary folder of this process is used and removed at exit.
-A written table, unlike a cached one, survives the loss of any executor.
+``spark.checkpoint.dir`` names that folder on a cluster; without it a cluster is refused.
+Where it is unset on one machine (tests) a temporary folder of this process is used.
+A written table, unlike a cached one, survives the loss of any executor. What a result
+still reads stays until the application ends, and is then removed.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,10 +20,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else one of our own."""
+    """The shared folder: ``spark.checkpoint.dir``, else, on one machine, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="quillfold-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -35,6 +39,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self.n = 0
+        system, path = self._at(self.root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
 
     def write(self, df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
         self.n += 1
@@ -54,11 +61,24 @@ class Scratch:
     def table(self, df: DataFrame, by: str | None = None) -> DataFrame:
         return self.write(df, by)[0]
 
+    def bucketed(self, df: DataFrame, by: str, buckets: int) -> DataFrame:
+        """Written in buckets of a column, so that joins on it do not shuffle this side again."""
+        self.n += 1
+        name = f"quillfold_{uuid.uuid4().hex}"
+        writer = df.repartition(buckets, by).write.option("compression", "zstd").bucketBy(buckets, by).sortBy(by)
+        writer.option("path", f"{self.root}/t{self.n}").saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name alone: the files stay, and out knows its buckets
+        return out
+
     def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p.getFileSystem(conf).delete(p, True)
+        system, p = self._at(path)
+        system.delete(p, True)
+
+    def _at(self, path: str):
+        """(file system, path) of the JVM."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def partitions(spark: SparkSession) -> int:

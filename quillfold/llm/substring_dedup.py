@@ -1,4 +1,4 @@
-"""Exact repeated-substring removal by level-wise doubling.
+"""Repeated-substring removal by level-wise doubling.
 
 A window of 35 words can repeat only where its parts of 18 and 9 words repeat. So 9-word
 windows are counted first, and of those only each 35-word window's least one (its
@@ -9,11 +9,16 @@ One level: every task hashes its candidates and settles those that repeat within
 group at once, so that at most one row for each distinct window leaves a slice; what is
 left meets by hash, and survivors go back by document. No group is ever collected.
 
+Windows are compared by 64-bit hashes; the last level, which decides, by two independent
+ones, 128 bits in all, and so are whole texts. Rows are numbered and texts are dealt by
+number once, into buckets; a text is then read once for each level, where it lies, and
+survivors come to it.
+
 Texts that are equal word for word are one class: if they have 35 words they are removed
 whole, and one of them stands for the class in the levels.
 
 Cases: null or empty text, or fewer than 35 words: nothing is removed. Null or repeated
-doc_id: rows get row numbers of their own meanwhile; each row is returned. kept_text: the
+doc_id: each row is returned. kept_text: the
 text as it was where nothing is removed (null for null), else the kept words joined by one
 space, whose hash is kept_sha256 in either case.
 """
@@ -36,7 +41,7 @@ WINDOW = 35
 HALF = (WINDOW + 1) // 2
 QUARTER = HALF // 2
 
-_LEVEL = "kind int, bucket int, doc long, sig long, n long, a binary, b binary, c binary"
+_LEVEL = "kind int, bucket int, doc long, sig long, n long, a binary, b binary, c binary, d binary"
 _BACK = "bucket int, b binary, c binary"
 _LIVE = "doc long, at binary"
 _FIELDS = [c.split()[0] for c in _LEVEL.split(", ")]
@@ -77,30 +82,41 @@ def minimizers(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of[wrong] = picked[nxt[wrong]]
 
 
-def _row(kind: int, bucket: int = 0, doc: int = 0, sig: int = 0, n: int = 0, a: bytes = b"", b: bytes = b"", c: bytes = b"") -> tuple:
-    return kind, bucket, doc, sig, n, a, b, c
+def _row(kind: int, bucket: int = 0, doc: int = 0, sig: int = 0, n: int = 0, a: bytes = b"", b: bytes = b"", c: bytes = b"", d: bytes = b"") -> tuple:
+    return kind, bucket, doc, sig, n, a, b, c, d
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=_FIELDS)
 
 
-def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple]:
+def _sorted(key: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(order that brings equal keys together, whether each in that order equals the one before)."""
+    if second is None:
+        o = np.argsort(key, kind="stable")
+        return o, key[o][1:] == key[o][:-1]
+    o = np.lexsort((second, key))
+    k, s = key[o], second[o]
+    return o, (k[1:] == k[:-1]) & (s[1:] == s[:-1])
+
+
+def _settle(key: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int, second: np.ndarray | None = None) -> list[tuple]:
     """Rows of one slice: windows that repeat within it, and one of each kind to compare."""
-    o = np.argsort(key, kind="stable")
+    o, same = _sorted(key, second)
     key, doc, at = key[o], doc[o], at[o]
-    same = key[1:] == key[:-1]
     twice = np.r_[False, same] | np.r_[same, False]
     rows = _owned(doc[twice], at[twice], buckets // 2)
     one = np.r_[True, ~same]
+    second = None if second is None else second[o][one]
     key, doc, at = key[one], doc[one], at[one] | (twice[one].astype(np.uint32) << np.uint32(31))
     bucket = (key >> W.U(20)) % W.U(buckets)
     o = np.argsort(bucket, kind="stable")
     key, doc, at, bucket = key[o], doc[o], at[o], bucket[o]
+    second = None if second is None else second[o]
     cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for i, j in zip(cut.tolist(), np.r_[cut[1:], len(bucket)].tolist(), strict=True):
-        rows.append(_row(1, int(bucket[i]), a=key[i:j].tobytes(), b=doc[i:j].tobytes(), c=at[i:j].tobytes()))
+        rows.append(_row(1, int(bucket[i]), a=key[i:j].tobytes(), b=doc[i:j].tobytes(), c=at[i:j].tobytes(), d=b"" if second is None else second[i:j].tobytes()))
     return rows
 
 
@@ -119,17 +135,17 @@ def _compare(buckets: int):
     """Reduce side of a level: what repeats across slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, ats = [], [], []
+        keys, docs, ats, seconds = [], [], [], []
         for batch in batches:
-            for a, b, c in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for a, b, c, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 keys.append(np.frombuffer(a, W.U)), docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
+                seconds.append(np.frombuffer(d, W.U))
         if not keys:
             return
-        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats)
-        keys.clear(), docs.clear(), ats.clear()
-        o = np.argsort(key)
-        key, doc, at = key[o], doc[o], at[o]
-        same = key[1:] == key[:-1]
+        key, doc, at, second = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats), np.concatenate(seconds)
+        keys.clear(), docs.clear(), ats.clear(), seconds.clear()
+        o, same = _sorted(key, second if len(second) else None)
+        doc, at = doc[o], at[o]
         known = at >> np.uint32(31) == 1
         keep = (np.r_[False, same] | np.r_[same, False]) & ~known  # known ones were settled where they lie
         rows = _owned(doc[keep], at[keep], buckets // 2)
@@ -168,7 +184,7 @@ def _first_level(buckets: int):
                     h = w.hash[w.first[i] : w.first[i + 1]]
                     sig = int(W.whole(h).view(np.int64))
                     post = len(h) >= WINDOW and sig not in seen
-                    rows.append(_row(0, int(post), doc=int(ids[start + i]), sig=sig, n=len(h)))
+                    rows.append(_row(0, int(post), doc=int(ids[start + i]), sig=sig, n=len(h), a=W.whole(h, 55).tobytes()))
                     if not post:
                         continue
                     seen.add(sig)
@@ -187,21 +203,22 @@ def _marks(blob: bytes | None) -> np.ndarray:
     return np.frombuffer(blob, np.uint32) if blob else np.zeros(0, np.uint32)
 
 
-def _next_level(buckets: int, candidates: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-    """Map side of a later level: candidates(word hashes, survivors) gives (keys, marks)."""
+def _next_level(buckets: int, candidates: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]):
+    """Map side of a later level: candidates(word hashes, survivors) gives (keys, marks[, second keys])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             old = batch.column(2).to_pylist()
             for start, to, w in W.slices(batch, "text", False):
-                key, doc, at = [], [], []
+                key, doc, at, second = [], [], [], []
                 for i in range(to - start):
-                    k, a = candidates(w.hash[w.first[i] : w.first[i + 1]], _marks(old[start + i]))
+                    k, a, *more = candidates(w.hash[w.first[i] : w.first[i + 1]], _marks(old[start + i]))
                     if len(k):
                         key.append(k), at.append(a), doc.append(np.full(len(k), ids[start + i], np.int64))
+                        second += more
                 if key:
-                    yield _rows(_settle(np.concatenate(key), np.concatenate(doc), np.concatenate(at), buckets))
+                    yield _rows(_settle(np.concatenate(key), np.concatenate(doc), np.concatenate(at), buckets, np.concatenate(second) if second else None))
 
     return run
 
@@ -215,8 +232,8 @@ def _halves(h: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key, np.r_[2 * left, 2 * right + 1].astype(np.uint32)
 
 
-def _wholes(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows whose anchor, extended to HALF on the sides they hold, still repeats."""
+def _wholes(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows whose anchor, extended to HALF on the sides they hold, still repeats, under two hashes."""
     q, _, full = window_hashes(h)
     _, of = minimizers(q)
     left, right = np.zeros(len(q), bool), np.zeros(len(q), bool)
@@ -227,11 +244,11 @@ def _wholes(h: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = of - s
     ok = (left[of] | (inside < QUARTER)) & (right[of] | (inside > WINDOW - HALF))
     at = np.flatnonzero(ok)
-    return full[at], at.astype(np.uint32)
+    return full[at], at.astype(np.uint32), W.sequences(h, WINDOW)[at]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n_words, n_removed, kept_sha256, kept_text, carried) from (doc, text, all, at, carried)."""
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text, carried) from (doc_id, text, all, at, carried)."""
     for batch in batches:
         whole, marks = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         null = batch.column(1).is_null().to_pylist()
@@ -263,7 +280,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(text, pa.binary()).cast(pa.string()),
                     batch.column(4).slice(start, to - start),
                 ],
-                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "carried"],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "carried"],
             )
 
 
@@ -273,43 +290,39 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, carry: Sequence[str] =
     carried is a struct of the columns of docs named in carry, as they were.
     """
     scratch = Scratch(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
-    ids = texts.agg(F.count("*"), F.countDistinct("doc")).first()
-    own = ids[0] != ids[1]
-    if own:  # a null or repeated doc_id: number the rows, in a written table so that numbers stay
-        texts = scratch.table(texts.withColumnRenamed("doc", "doc_id").withColumn("doc", F.monotonically_increasing_id()))
-    read = texts.select("doc", "text")
-    words = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(partitions(spark), words // 24_000_000 + 1)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(c) for c in carry]).alias("carried"))
+    length = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(partitions(spark), length // 24_000_000 + 1)
     buckets = 2 * parts
+    texts = scratch.bucketed(texts.withColumn("doc", F.monotonically_increasing_id()), "doc", parts)
+    read = texts.select("doc", "text")
 
     def survivors(level: DataFrame) -> tuple[DataFrame, str]:
-        posted = level.where("kind = 1").select("bucket", "a", "b", "c")
+        posted = level.where("kind = 1").select("bucket", "a", "b", "c", "d")
         back = posted.repartition(parts, "bucket").mapInArrow(_compare(buckets), _BACK)
         settled = level.where("kind = 2").select("bucket", "b", "c")
         return scratch.write(back.unionByName(settled).repartition(parts, "bucket").mapInArrow(_regroup, _LIVE))
 
     first, path = scratch.write(read.mapInArrow(_first_level(buckets), _LEVEL), "kind")
-    facts = scratch.table(first.where("kind = 0").select("doc", "sig", "n", (F.col("bucket") == 1).alias("posted")))
+    facts = first.where("kind = 0").select("doc", "sig", F.col("a").alias("sig2"), "n", (F.col("bucket") == 1).alias("posted"))
+    facts = scratch.table(facts)
     least = F.min(F.when(F.col("posted"), F.col("doc")))  # only copies that were posted have survivors
-    classes = facts.where(f"n >= {WINDOW}").groupBy("sig").agg(least.alias("doc"), F.count("*").alias("copies"))
+    text = ["sig", "sig2", "n"]
+    classes = facts.where(f"n >= {WINDOW}").groupBy(*text).agg(least.alias("doc"), F.count("*").alias("copies"))
     # all copies of a text go whole; the other windows of the corpus still meet one of them
-    lead = scratch.table(classes.select("doc"))
+    classes = scratch.table(classes)
     live, old = survivors(first)
     scratch.drop(path)
     for candidates in (_halves, _wholes):
-        joined = read.join(live.join(lead, "doc"), "doc").select("doc", "text", "at")
+        joined = read.join(live.join(classes.select("doc"), "doc"), "doc").select("doc", "text", "at")
         level, path = scratch.write(joined.mapInArrow(_next_level(buckets, candidates), _LEVEL), "kind")
         scratch.drop(old)
         live, old = survivors(level)
         scratch.drop(path)
-    copied = facts.join(classes.where("copies > 1").select("sig"), "sig").select("doc", F.lit(True).alias("copied"))
+    copied = facts.join(classes.where("copies > 1").select(*text), text).select("doc", F.lit(True).alias("copied"))
     state = copied.join(live, "doc", "full").select("doc", F.coalesce("copied", F.lit(False)).alias("copied"), "at")
     state = state.withColumn("at", F.when(~F.col("copied"), F.col("at")))
     state = scratch.table(state)
-    out = texts.select("doc", "text", "carried").join(state, "doc", "left").select("doc", "text", "copied", "at", "carried")
+    out = texts.join(state, "doc", "left").select("doc_id", "text", "copied", "at", "carried")
     kind = out.schema["carried"].dataType.simpleString()
-    out = out.mapInArrow(_cut, f"doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, carried {kind}")
-    if own:
-        return texts.select("doc", "doc_id").join(out, "doc").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "carried")
-    return out.withColumnRenamed("doc", "doc_id")
+    return out.mapInArrow(_cut, f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, carried {kind}")

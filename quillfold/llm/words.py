@@ -116,10 +116,10 @@ def chain(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _C[50] + (right ^ _C[51]) * _C[52])
 
 
-def whole(h: np.ndarray) -> np.uint64:
-    """One hash of a whole sequence of any length."""
+def whole(h: np.ndarray, salt: int = 53) -> np.uint64:
+    """One hash of a whole sequence of any length; each salt (up to 62) gives a hash of its own."""
     up, _ = _powers(len(h) + 1)
-    total = int(np.sum(mix(h ^ _C[53]) * up[: len(h)], dtype=U)) + len(h) * int(_C[54])
+    total = int(np.sum(mix(h ^ _C[salt]) * up[: len(h)], dtype=U)) + len(h) * int(_C[salt + 1])
     return mix(np.array([total % 2**64], U))[0]
 
 

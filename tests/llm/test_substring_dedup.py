@@ -1,9 +1,11 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import documents, prose, texts
 
+from quillfold.llm import substring_dedup as dedup
 from quillfold.llm.substring_dedup import substring_dedup
 
 
@@ -61,3 +63,23 @@ def test_copies_in_any_order_still_meet_others(spark, ids, parts):
     rows += [(100, prose(100, 40) + " " + " ".join(copy.split()[30:75]) + " " + prose(101, 30)), (0, prose(102, 60))]
     docs = documents(spark, rows).coalesce(1)
     assert got(substring_dedup(spark, docs.repartition(parts) if parts > 1 else docs)) == brute(rows)
+
+
+def test_equal_first_hashes_are_not_enough():
+    """Windows under one key that differ in the second one stay apart, in a slice and across slices."""
+    key = np.array([5, 5, 5, 7, 7], np.uint64) << np.uint64(20)
+    second = np.array([1, 2, 1, 3, 4], np.uint64)
+    doc, at = np.array([10, 11, 12, 13, 14]), np.arange(5, dtype=np.uint32)
+    rows = dedup._settle(key, doc, at, 4, second)
+    assert sorted(np.concatenate([np.frombuffer(r[6], np.int64) for r in rows if r[0] == 2]).tolist()) == [10, 12]
+    apart = [r for i in range(5) for r in dedup._settle(key[i : i + 1], doc[i : i + 1], at[i : i + 1], 4, second[i : i + 1])]
+    batch = dedup._rows(apart).select(["bucket", "a", "b", "c", "d"])
+    back = [np.frombuffer(b, np.int64).tolist() for out in dedup._compare(4)(iter([batch])) for b in out.column(1).to_pylist()]
+    assert sorted(x for b in back for x in b) == [10, 12]
+
+
+def test_texts_are_dealt_once(spark):
+    """Joins with survivors use the buckets: the plan of the result shuffles no text."""
+    out = substring_dedup(spark, documents(spark))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert all("text#" not in line for line in plan.splitlines() if "Exchange" in line)
