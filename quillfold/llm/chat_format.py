@@ -18,6 +18,8 @@ each. No rows: no conversations. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ ROLE, ROLE_END = "[ROLE ", "]"
 AND = "[AND]"
 END = "</s>"
 LOSS_ROLE = "assistant"
+#: Rounds of running sums: enough for any array, whose entries of eight bytes are fewer than 8**10.
+ROUNDS = 10
 #: In this order; undone from last to first.
 ESCAPES = (("&", "&a"), ("<", "&l"), ("[", "&b"), ("]", "&c"))
 
@@ -55,34 +59,60 @@ def format_chat(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     )
     conv = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    role = lambda i: F.get("turns", i)["role"]  # noqa: E731  null outside the array
-
-    def piece(t: Column, i: Column) -> Column:
-        # the merge: a turn opens a message unless the one before has its role
-        opens = ~F.coalesce(role(i - 1) == t["role"], F.lit(False))
-        ends = ~F.coalesce(role(i + 1) == t["role"], F.lit(False))
-        return F.struct(
-            F.when(opens, F.concat(F.lit(ROLE), escape(t["role"]), F.lit(ROLE_END))).otherwise(F.lit(AND)).alias("head"),
-            escape(t["text"]).alias("body"),
-            F.when(ends, F.lit(END)).otherwise(F.lit("")).alias("tail"),
-            (t["role"] == F.lit(loss_role)).alias("loss"),
-        )
-
-    conv = conv.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    text = F.concat(F.lit(BEGIN), F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
-    # one pass with a running offset; the runs are collected as text, since growing an array copies it
-    start = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), F.lit("").alias("runs"))
-    step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
-        F.when(
-            p["loss"] & (F.length(p["body"]) > 0),
-            F.concat(s["runs"], F.lit(" "), (s["at"] + F.length(p["head"])).cast("string"), F.lit("+"), F.length(p["body"]).cast("string")),
-        ).otherwise(s["runs"]).alias("runs"),
-    )
-    runs = F.aggregate("pieces", start, step, lambda s: F.filter(F.split(s["runs"], " "), lambda x: x != ""))
-    conv = conv.select("conv_id", text.alias("formatted"), runs.alias("runs"))
-    run = lambda x: F.struct(F.split_part(x, F.lit("+"), F.lit(1)).cast("long").alias("start"), F.split_part(x, F.lit("+"), F.lit(2)).cast("long").alias("length"))
-    return conv.select("conv_id", "formatted", F.transform("runs", run).alias("loss_mask"))
+    def pieces(turns: Column) -> Column:
+        role = lambda i: F.get(turns, i)["role"]  # noqa: E731  null outside the array
+
+        def piece(t: Column, i: Column) -> Column:
+            # the merge: a turn opens a message unless the one before has its role
+            opens = ~F.coalesce(role(i - 1) == t["role"], F.lit(False))
+            ends = ~F.coalesce(role(i + 1) == t["role"], F.lit(False))
+            return F.struct(
+                F.when(opens, F.concat(F.lit(ROLE), escape(t["role"]), F.lit(ROLE_END))).otherwise(F.lit(AND)).alias("head"),
+                escape(t["text"]).alias("body"),
+                F.when(ends, F.lit(END)).otherwise(F.lit("")).alias("tail"),
+                (t["role"] == F.lit(loss_role)).alias("loss"),
+            )
+
+        return F.transform(turns, piece)
+
+    def runs(parts: Column) -> Column:
+        """The mask, by the places where parts end."""
+        size = lambda p: (F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("long")
+
+        def of(ends: Column) -> Column:
+            at = lambda p, i: F.lit(len(BEGIN)) + F.get(ends, i) - size(p) + F.length(p["head"])
+            every = F.transform(parts, lambda p, i: F.struct(at(p, i).alias("start"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss")))
+            return F.transform(F.filter(every, lambda r: r["loss"] & (r["length"] > 0)), lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))
+
+        return _let(running_sums(F.transform(parts, size)), of)
+
+    text = lambda parts: F.concat(F.lit(BEGIN), F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], p["tail"])), ""))
+    both = _let(F.col("turns"), lambda t: _let(pieces(t), lambda parts: F.struct(text(parts).alias("formatted"), runs(parts).alias("loss_mask"))))
+    return conv.select("conv_id", both.alias("_")).select("conv_id", "_.formatted", "_.loss_mask")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: a column named in a lambda can be computed for each entry."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """Sums up to each entry of an array<bigint>: a round adds the seven entries 1, 8, 64, ... apart before it."""
+
+    def adding(step: int) -> Callable[[Column], Column]:
+        def add(sums: Column) -> Column:
+            def more(v: Column, i: Column) -> Column:
+                for j in range(1, 8):
+                    v = v + F.coalesce(F.get(sums, i - j * step), F.lit(0).cast("long"))
+                return v
+
+            return F.when(F.size(sums) > step, F.transform(sums, more)).otherwise(sums)
+
+        return add
+
+    for k in range(ROUNDS):
+        values = _let(values, adding(8**k))
+    return values
 
 
 def read_turns(formatted: Column) -> Column:

@@ -1,10 +1,11 @@
 import hashlib
+import itertools
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillfold.llm.chat_format import format_chat, read_loss, read_turns
+from quillfold.llm.chat_format import format_chat, read_loss, read_turns, running_sums
 
 SCHEMA = "conv_id long, turn long, role string, text string, n string"
 PIECES = ["&", "&a", "<s>", "</s>", "[ROLE user]", "[AND]", "]", "<", "[", "\n", "x", "é😀", "&lt;", "assistant", " "]
@@ -50,3 +51,23 @@ def test_query_digests(spark):
     text = "</s>[INST] ok [/INST]"
     assert row.n_turns == 2 and row.loss_chars == len(text)
     assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_long_conversations(spark):
+    """Thousands of turns, and a long text, against plain sums."""
+    turns = [(1, i, "assistant" if i % 3 else "user", f"text [{i}] " * (1 + i % 4)) for i in range(6000)]
+    turns += [(2, 0, "user", "q"), (2, 1, "assistant", "<é>" * 200_000)]
+    got = {r.conv_id: r for r in format_chat(spark.createDataFrame([(*r, "z") for r in turns], SCHEMA)).collect()}
+    for conv in (1, 2):
+        mask = [(m.start, m.length) for m in got[conv].loss_mask]
+        said = [t for c, _, role, t in turns if c == conv and role == "assistant"]
+        code = {"&": "&a", "<": "&l", "[": "&b", "]": "&c"}
+        escaped = ["".join(code.get(ch, ch) for ch in t) for t in said]
+        assert [got[conv].formatted[a : a + n] for a, n in mask] == escaped
+    assert back(spark, turns)[1][0] == [(role, t) for c, _, role, t in turns if c == 1]
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6, 7],), ([],), ([5],), (list(range(1000)),)], "x array<bigint>")
+    for r in df.select("x", running_sums(F.col("x")).alias("s")).collect():
+        assert r.s == list(itertools.accumulate(r.x))
