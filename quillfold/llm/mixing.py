@@ -7,8 +7,8 @@ a round, each round one aggregate over the sources, which never leave the cluste
 
 Weights become token budgets. A source's documents are dealt to blocks by a hash; each
 epoch takes the blocks in a permutation of its own, the last one as far as the budget
-goes, its last block document by document. So only blocks are ordered within a source,
-and a source that holds any part of the rows is spread over its blocks.
+goes, its last block document by document. So only blocks are ordered within a source, a
+bounded number of them, and a source that holds any part of the rows is spread over them.
 
 Without a budget, the total is what gives the least repeated source exactly one pass: no
 document is left out.
@@ -29,8 +29,8 @@ from quillfold.llm.scratch import Scratch
 
 #: Target entropy as a part of that of equal weights; most passes over a source.
 ENTROPY, REPEATS = 0.97, 4.0
-#: Tokens in a block.
-BLOCK = 1_000_000
+#: Tokens in a block at least, and blocks of a source at most: what is ordered in one task.
+BLOCK, BLOCKS = 1_000_000, 1 << 16
 #: Parts of a bisection round, and rounds.
 PARTS, ROUNDS = 32, 5
 SPACE = r"[ \t-\r]+"
@@ -96,7 +96,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, entropy: float = ENTROPY,
     z, least = raw.agg(F.sum("w"), F.min(F.col("w") / F.col("tokens"))).first()
     whole = float(budget) if budget is not None else z / least
     plan = raw.select("source", "tokens", (F.col("w") / z).alias("weight"), F.floor(F.col("w") / z * whole * (1 + 1e-12) + 1e-6).alias("budget"))
-    plan = plan.withColumn("blocks", F.ceil(F.col("tokens") / block))
+    plan = plan.withColumn("blocks", F.least(F.ceil(F.col("tokens") / block), F.lit(BLOCKS)))
     salt = lambda *cols: F.xxhash64(*cols, F.lit(seed))
     dealt = rows.where("n_tokens > 0").alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
     dealt = dealt.select("doc_id", "r.source", "n_tokens", F.pmod(salt(F.coalesce("doc_id", F.lit(-1))), F.col("blocks")).alias("block"))

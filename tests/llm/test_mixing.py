@@ -1,8 +1,10 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from fixtures import documents, texts
 
+from quillfold.llm import mixing
 from quillfold.llm.mixing import exponent, mix_sources
 
 
@@ -68,3 +70,61 @@ def test_odd_rows(spark):
     assert all(r.weight is None for r in got if not r.n_tokens)
     assert mix_sources(spark, documents(spark, [])).count() == 0
     assert mix_sources(spark, documents(spark, [(1, None), (2, "")])).count() == 2
+
+
+def _plain_exponent(tokens, entropy, repeats):
+    """The largest exponent that reaches the entropy, raised until no source repeats too often: bisection in plain floats."""
+    total = sum(tokens)
+    share = [t / total for t in tokens]
+
+    def state(a):
+        w = [p**a for p in share]
+        z = sum(w)
+        h = -sum(x / z * math.log(x / z) for x in w) / math.log(len(w)) if len(w) > 1 else 1.0
+        passes = [x / p for x, p in zip(w, share)]
+        return h, max(passes) / min(passes)
+
+    def largest(ok):
+        low, high = 0.0, 1.0
+        if ok(1.0):
+            return 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if ok(mid) else (low, mid)
+        return low
+
+    wanted = largest(lambda a: state(a)[0] >= entropy)
+    return wanted if state(wanted)[1] <= repeats else largest(lambda a: state(a)[1] > repeats)
+
+
+@pytest.mark.parametrize(("entropy", "repeats", "block"), [(0.97, 4.0, 40), (0.9, 100.0, 1_000_000), (1.0, 2.5, 25)])
+def test_against_plain_loops(spark, entropy, repeats, block):
+    """Which documents come how often, by a loop over sources."""
+    docs = _docs(spark)
+    got = mix_sources(spark, docs, entropy=entropy, repeats=repeats, block=block).collect()
+    own = defaultdict(dict)
+    for r in docs.collect():
+        own[r.source][r.doc_id] = len(r.text.split())
+    tokens = {s: sum(d.values()) for s, d in own.items()}
+    a = _plain_exponent(list(tokens.values()), entropy, repeats)
+    plain = {s: t**a / sum(x**a for x in tokens.values()) for s, t in tokens.items()}
+    weight = {r.source: r.weight for r in got}
+    assert all(abs(weight[s] - plain[s]) < 1e-4 for s in tokens)
+    whole = max(t / weight[s] for s, t in tokens.items())  # one pass over the least repeated source
+    times = Counter(r.doc_id for r in got)
+    for s, d in own.items():
+        budget = weight[s] * whole
+        passes = int(budget / tokens[s] + 1e-6)
+        assert {times[i] for i in d} <= {passes, passes + 1}
+        over = sum(n for i, n in d.items() if times[i] > passes)
+        assert budget - passes * tokens[s] - 10 <= over + 1 and over <= budget - passes * tokens[s] + 0.01 * budget + 1
+    for epoch in {(r.source, r.epoch) for r in got}:
+        rows = [r.doc_id for r in got if (r.source, r.epoch) == epoch]
+        assert len(rows) == len(set(rows))
+
+
+def test_few_blocks(spark, monkeypatch):
+    """A source of more tokens than its blocks hold: blocks grow, nothing is lost."""
+    monkeypatch.setattr(mixing, "BLOCKS", 3)
+    got = mix_sources(spark, _docs(spark), entropy=0.9, repeats=8.0, block=5).collect()
+    assert {r.doc_id for r in got} == set(range(760)) and max(Counter((r.doc_id, r.epoch) for r in got).values()) == 1

@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+
 import corpus_pipeline
 from fixtures import documents, prose
 
+from quillfold.llm.language_id import language_id
+
 
 def _tables(spark, tmp_path, rows):
     docs = documents(spark, rows)
@@ -75,3 +80,78 @@ def test_run_and_no_rows(spark, tmp_path):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 0 and "position" in got.columns
+
+
+def _shingles(words):
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+
+def _least_of_groups(rows):
+    """One row of each group of linked texts, by comparing all pairs."""
+    sets = {i: _shingles(t.lower().split()) for i, t in rows.items()}
+    top = {i: i for i in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    return {i: t for i, t in rows.items() if find(i) == i}
+
+
+def _without_repeats(rows, size=35):
+    words = {i: t.split() for i, t in rows.items()}
+    seen = Counter(tuple(w[k : k + size]) for w in words.values() for k in range(len(w) - size + 1))
+    out = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1):
+            if seen[tuple(w[k : k + size])] > 1:
+                gone[k : k + size] = [True] * size
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        if not any(gone) or kept:
+            out[i] = kept if any(gone) else rows[i]
+    return out
+
+
+def test_run_against_plain_loops(spark, tmp_path):
+    """Every stage by loops over all pairs and windows; the verdict on languages is the operator's own."""
+    r = random.Random(4)
+    passages = [prose(f"p{k}", 36 + 9 * k) for k in range(5)]
+    items = [prose("item", 40), prose("short", 6)]
+    rows = {}
+    for i in range(160):
+        text = prose(f"d{r.randrange(60)}", r.choice([3, 20, 60, 150])).split()
+        for _ in range(r.randrange(3)):
+            text[r.randrange(len(text))] = f"edit{r.randrange(30)}"
+        at = r.randrange(len(text) + 1)
+        if r.random() < 0.4:
+            text[at:at] = r.choice(passages).split()
+        if r.random() < 0.15:
+            text[at:at] = r.choice(items).split()
+        rows[i] = " ".join(text)
+    rows |= {500: "1 2 3 4 5 6", 501: "", 502: passages[0], 503: passages[1] + " " + passages[2]}
+    order = list(rows)
+    r.shuffle(order)
+    docs = documents(spark, [(i, rows[i]) for i in order]).repartition(5)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    read = {x.doc_id for x in language_id(spark, docs).where(f"lang_pred <> 'und' AND score >= {corpus_pipeline.LEAST_SCORE}").collect()}
+    assert 500 not in read and len(read) > 150
+    want = _without_repeats(_least_of_groups({i: t for i, t in rows.items() if i in read}))
+    tests = [_shingles(t.split()) for t in items]
+
+    def leaks(words):
+        own = _shingles(words)
+        return any(len(own & t) >= 0.8 * len(t) for t in tests)
+
+    want = {i: t for i, t in want.items() if not leaks(t.lower().split())}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id: x.n_tokens for x in got} == {i: len(t.split()) for i, t in want.items()}
+    assert len({(x.doc_id, x.epoch) for x in got}) == len(got)
