@@ -56,9 +56,10 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays, equal rows once.
+    """Of each group of linked documents, copies included, the one with the least id stays.
 
-    Where none of a group has an id, one of them stays.
+    Where several have that id, or none has an id, one row of them stays. Documents without
+    words are linked with nothing and stay.
     """
     rows, own = _rows(spark, docs)
     judged = ngram_jaccard(spark, _as_docs(rows))
@@ -68,7 +69,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ids = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("id"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("least")
     kept = judged.join(ids, "doc_id").groupBy("component_id").agg(least).select("least.doc_id")
-    return _without(rows, kept, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return _without(rows, kept, "left_semi").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
