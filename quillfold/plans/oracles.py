@@ -422,3 +422,10 @@ sql("extracted_pages", """
 SELECT 'page_' || batch || '.png' AS filename, CASE WHEN ok THEN '250' || lpad(CAST(1 + batch % 20 AS VARCHAR), 3, '0') || '-01' END AS job_number,
        CASE WHEN ok THEN 'Success' ELSE 'Failure: image_load_failed' END AS status, CASE WHEN NOT ok THEN 'image_load_failed' END AS error, ok AS sure
 FROM (SELECT DISTINCT batch, batch % 5 <> 4 AS ok FROM scan)""")
+sql("stamp_regions", """
+SELECT DISTINCT k, CAST(26 AS BIGINT) AS x, CAST(46 AS BIGINT) AS y, 48 + k AS w, CAST(28 AS BIGINT) AS h, least(240, 26 + 48 + k + 250) AS crop_w, CAST(94 - 26 AS BIGINT) AS crop_h FROM scan WHERE k % 3 > 0""")
+sql("prepared_pictures", "SELECT DISTINCT k, k % 2 = 1 AS faint, CAST(75 AS BIGINT) AS read_h, CAST(150 AS BIGINT) AS read_w, CAST(460 AS BIGINT) AS pad_w FROM scan")
+sql("batch_images", "SELECT 'work/' || name AS path, name FROM (SELECT 'B_' || (batch % 2) || '__' || split_part(filename, '.', 1) || '_ready.jpg' AS name FROM scan WHERE batch % 2 = 1 AND k % 2 = 0)")
+sql("run_reports", "SELECT CAST(batch AS VARCHAR) AS batch_id, count(*) AS total_files, count(*) FILTER (status = 'Success') AS successful_autofiling, count(*) AS files, count(*) FILTER (status = 'Success') AS filed, round(sum(confidence), 6) AS confidence FROM filed GROUP BY batch", FILED.strip())
+sql("metrics_reports", "SELECT CAST(batch AS VARCHAR) AS batch, total_in_batch, verified_files, human_corrections FROM review WHERE batch % 7 <> 3", *R2)
+sql("corrections_refresh", "SELECT batch, total_in_batch, verified_files FROM review WHERE batch IN (SELECT batch FROM scan WHERE k % 50 = 1 AND batch % 3 = 1 AND raw_job <> '210001-01')", *R2)

@@ -75,6 +75,74 @@ def red(pictures: DataFrame) -> DataFrame:
     return pictures.mapInPandas(run, "scan_idx long, coverage double, red boolean")
 
 
+def stamped(kinds: DataFrame) -> DataFrame:
+    """(k, content): a blue mark, tall where k % 3 = 0, else wide by k."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k in f["k"]:
+                img = np.full((120, 240, 3), 255, np.uint8)
+                if k % 3:
+                    img[50:70, 40 : 60 + int(k)] = (200, 60, 20)
+                else:
+                    img[30:90, 40:46] = (200, 60, 20)
+                out.append(encode_png(img))
+            yield pd.DataFrame({"k": f["k"], "content": out})
+
+    return kinds.mapInPandas(run, "k long, content binary")
+
+
+def stamps(pictures: DataFrame) -> DataFrame:
+    """(k, x, y, w, h, crop_w, crop_h) of each stamp, and the size of its crop."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, content in zip(f["k"], f["content"], strict=True):
+                img = decode(bytes(content))
+                rows += [(i, *box, *K.stamp_crop(img, box).shape[1::-1]) for box in K.stamp_boxes(img)]
+            yield pd.DataFrame(rows, columns=["k", "x", "y", "w", "h", "crop_w", "crop_h"])
+
+    return pictures.mapInPandas(run, "k long, x long, y long, w long, h long, crop_w long, crop_h long")
+
+
+def pale(kinds: DataFrame) -> DataFrame:
+    """(k, content): a pale blue mark where k is odd, else gray paper."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k in f["k"]:
+                img = np.full((30, 60, 3), 235, np.uint8)
+                if k % 2:
+                    img[10:16, 12:40] = (235, 200, 190)
+                out.append(encode_png(img))
+            yield pd.DataFrame({"k": f["k"], "content": out})
+
+    return kinds.mapInPandas(run, "k long, content binary")
+
+
+def prepared(pictures: DataFrame) -> DataFrame:
+    """(k, faint, read_h, read_w, pad_w): faint ink found, and the sizes that a reader gets."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            img = [decode(bytes(c)) for c in f["content"]]
+            read = [K.for_reading(i) for i in img]
+            yield pd.DataFrame(
+                {
+                    "k": f["k"],
+                    "faint": [K.faint_ink(i) is not None for i in img],
+                    "read_h": [r.shape[0] for r in read],
+                    "read_w": [r.shape[1] for r in read],
+                    "pad_w": [K.pad_sides(i, True).shape[1] for i in img],
+                }
+            )
+
+    return pictures.mapInPandas(run, "k long, faint boolean, read_h long, read_w long, pad_w long")
+
+
 def barred(batches: DataFrame) -> DataFrame:
     """(batch, path, content, readable): 1 + batch % 20 bars; every fifth file is no picture."""
 

@@ -724,3 +724,65 @@ def extracted_pages(spark, sf_dir):
     made = pages.barred(scan_log(spark, sf_dir).select("batch").distinct())
     out = vision.extract(made.select("path", "content"), pages.bar_reader)
     return out.select("filename", "job_number", "status", "error", (F.col("confidence") > 0).alias("sure"))
+
+
+@query
+def stamp_regions(spark, sf_dir):
+    """Pictures of stamps, decoded: wide regions of blue ink and their crops."""
+    return pages.stamps(pages.stamped(scan_log(spark, sf_dir).select("k").distinct()))
+
+
+@query
+def prepared_pictures(spark, sf_dir):
+    """Pictures of faint marks, decoded: whether ink is recovered, and the sizes made for a reader."""
+    return pages.prepared(pages.pale(scan_log(spark, sf_dir).select("k").distinct()))
+
+
+@query
+def batch_images(spark, sf_dir):
+    """Converted pages of one batch, by the prefix of its name."""
+    stem = F.split_part("filename", F.lit("."), F.lit(1))
+    ending = F.when(F.col("k") % 2 == 0, "_ready.jpg").otherwise("_raw.jpg")
+    files = scan_log(spark, sf_dir).select(F.concat(F.lit("work/B_"), (F.col("batch") % 2).cast("string"), F.lit("__"), stem, ending).alias("path"))
+    return io.batch_images(files, "B<1>").select("path", "name")
+
+
+@query
+def run_reports(spark, sf_dir):
+    """Run reports written as JSON, an object a file, and read again."""
+    path = io.new_folder(spark)
+    df = filed(spark, sf_dir)
+    f = F.struct("filename", "raw_job", "corrected_job", "confidence", "reason", "status", F.col("proc_sec").alias("processing_time_sec"), "method", "error")
+    made = df.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "Success").alias("good"), F.sort_array(F.collect_list(F.struct("scan_idx", f.alias("f")))).alias("files"))
+    meta = F.struct(F.col("batch").cast("string").alias("batch_id"), F.col("n").alias("total_files"), F.col("good").alias("successful_autofiling"))
+    made = made.select("batch", F.to_json(F.struct(meta.alias("batch_metadata"), F.transform("files", lambda x: x["f"]).alias("files"))).alias("value"))
+    made.repartition("batch").write.partitionBy("batch").text(path)
+    out = io.run_reports(spark, path).select("batch_metadata.*", F.explode("files").alias("f"))
+    return out.groupBy("batch_id", "total_files", "successful_autofiling").agg(F.count("*").alias("files"), F.count_if(F.col("f.status") == "Success").alias("filed"), r6(F.sum("f.confidence")).alias("confidence"))
+
+
+@query
+def metrics_reports(spark, sf_dir):
+    """Stored metrics as JSON files; every seventh is broken and left out."""
+    path = io.new_folder(spark)
+    m = metrics.review_metrics(reviewed(spark, sf_dir), "batch")
+    body = F.to_json(F.struct(F.struct("total_in_batch", "verified_files", "human_corrections").alias("summary"), F.struct(F.col("batch").cast("string").alias("batch_id")).alias("batch_info")))
+    m = m.select("batch", F.when(F.col("batch") % 7 == 3, F.lit("{broken")).otherwise(body).alias("value"))
+    m.repartition("batch").write.partitionBy("batch").text(path)
+    return io.history(io.metrics_reports(spark, path)).select("batch", "total_in_batch", "verified_files", "human_corrections")
+
+
+@query
+def corrections_refresh(spark, sf_dir):
+    """The stream of corrections names the batches to compute anew; their metrics are written and read."""
+    folder = io.new_folder(spark)
+    fixes = scan_log(spark, sf_dir).where("k % 50 = 1 AND batch % 3 = 1").select("filename", F.col("raw_job").alias("system_guess"), F.lit("210001-01").alias("final"), "confidence", F.lit("m").alias("method_used"), F.col("batch").cast("string").alias("batch_id"), F.lit("2026-01-01").alias("harvested_at"))
+    hitl.corrections_of(fixes).write.json(f"{folder}/log")
+
+    def recompute(batches: DataFrame) -> None:
+        touched = batches.select(F.col("batch").cast("long").alias("batch"))
+        m = metrics.review_metrics(reviewed(spark, sf_dir).join(touched, "batch"), "batch")
+        io.write_json(m.select("batch", "total_in_batch", "verified_files"), f"{folder}/metrics")
+
+    hitl.refresh(spark, f"{folder}/log", f"{folder}/state", recompute).awaitTermination()
+    return spark.read.schema("total_in_batch long, verified_files long, batch long").json(f"{folder}/metrics")

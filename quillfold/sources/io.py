@@ -35,6 +35,14 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return df.where(keep).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
 
 
+def incoming(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream: documents as they are dropped into a folder, each once."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    df = spark.readStream.format("binaryFile").schema(schema).load(path)
+    keep = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES)
+    return df.where(keep).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
+
+
 def batch_images(files: DataFrame, batch: str) -> DataFrame:
     """Converted pages of one batch, by its name prefix."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillfold.sources import io
@@ -68,3 +69,32 @@ def test_corrections_refresh_touched_batches(spark, tmp_path):
     q = hitl.refresh(spark, str(tmp_path / "log"), str(tmp_path / "cp"), lambda b: seen.extend(r.batch for r in b.collect()))
     q.awaitTermination(60)
     assert seen == ["A"]
+
+
+def test_dropped_files_come_once(spark, tmp_path):
+    drop, seen = tmp_path / "drop", []
+    drop.mkdir()
+
+    def go():
+        q = io.incoming(spark, str(drop)).writeStream.foreachBatch(lambda df, _: seen.extend(r.path.rsplit("/", 1)[1] for r in df.collect()))
+        q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+
+    (drop / "a.pdf").write_bytes(b"1")
+    (drop / "b.txt").write_bytes(b"2")
+    go()
+    (drop / "c.PNG").write_bytes(b"3")
+    go()
+    assert seen == ["a.pdf", "c.PNG"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError):
+        io.new_folder(Cluster)
+    assert io.new_folder(spark) != io.new_folder(spark)
