@@ -113,8 +113,8 @@ def test_against_plain_loops(spark, entropy, repeats, block):
     whole = max(t / weight[s] for s, t in tokens.items())  # one pass over the least repeated source
     times = Counter(r.doc_id for r in got)
     for s, d in own.items():
-        budget = weight[s] * whole
-        passes = int(budget / tokens[s] + 1e-6)
+        budget = int(weight[s] * whole * (1 + 1e-12) + 1e-6)  # whole tokens
+        passes = budget // tokens[s]
         assert {times[i] for i in d} <= {passes, passes + 1}
         over = sum(n for i, n in d.items() if times[i] > passes)
         assert budget - passes * tokens[s] - 10 <= over + 1 and over <= budget - passes * tokens[s] + 0.01 * budget + 1
