@@ -18,6 +18,18 @@ from quillfold.functions import text as T
 from quillfold.functions.validate import Validator, is_failed
 
 
+# Reasons, as they stand in reports (those that end in a bracket are closed behind a value): fixed values.
+RED_SUFFIX = "Tier 0: Red Ink Suffix Override ("
+RED_SWAP = "Tier 0: Red Ink Positional Swap via Known Jobs ("
+RED_OVERWRITE = "Tier 0: Red Ink Overwrite Resolved ("
+KEPT_UNIQUE = "kept: valid unique suffix (conf "
+SANDWICH = "Tier 1: Sandwich Rule (bracketed by "
+INHERITED = "Tier 2: Suffix Inheritance (from "
+CONSENSUS = "Tier 3: Weighted Consensus (adopted "
+NOTHING_FOUND = "no_correction_found"
+KEPT = "kept: valid"
+
+
 def _order() -> Window:
     return Window.partitionBy("batch").orderBy("scan_idx", "ordinal")
 
@@ -74,7 +86,7 @@ def red_ink(df: DataFrame, known: list[str] | None = None, validation: Validatio
     over = F.when((digit != "") & F.col("job").isNotNull(), F.lit(None)).otherwise(over)
     on = F.coalesce(F.col("has_red"), F.lit(False)) & (F.coalesce(raw, F.lit("")) != "")
     new = F.when(on, F.coalesce(override, swap, over))
-    kind = F.when(override.isNotNull(), "Tier 0: Red Ink Suffix Override (").when(swap.isNotNull(), "Tier 0: Red Ink Positional Swap via Known Jobs (").otherwise("Tier 0: Red Ink Overwrite Resolved (")
+    kind = F.when(override.isNotNull(), RED_SUFFIX).when(swap.isNotNull(), RED_SWAP).otherwise(RED_OVERWRITE)
     df = df.withColumn("_new", new)
     df = df.withColumn("reason", F.when(F.col("_new").isNotNull(), F.concat(kind, raw, F.lit(" -> "), F.col("_new"), F.lit(")"))).otherwise(F.col("reason")))
     df = df.withColumn("job", F.coalesce("_new", "job")).drop("_new")
@@ -108,12 +120,12 @@ def sandwich(df: DataFrame, config: FilingConfig = FilingConfig()) -> DataFrame:
     df = df.withColumn("_hit", F.col("_cand") & (F.row_number().over(Window.partitionBy("batch", "_run", "_cand").orderBy("scan_idx", "ordinal")) % 2 == 1))
     after = F.coalesce(F.lag("_hit").over(w), F.lit(False))
     df = df.withColumn("_keep", F.col("_shield") & ~after)
-    df = df.withColumn("reason", F.when(F.col("_keep"), F.concat(F.lit("kept: valid unique suffix (conf "), F.format_string("%.2f", "confidence"), F.lit(")"))).otherwise(F.col("reason")))
+    df = df.withColumn("reason", F.when(F.col("_keep"), F.concat(F.lit(KEPT_UNIQUE), F.format_string("%.2f", "confidence"), F.lit(")"))).otherwise(F.col("reason")))
     # the neighbour's own verdict, since a bracketing job need not be valid
     df = df.withColumn("_pv", F.lag("valid").over(w))
     df = df.withColumns(
         {
-            "reason": F.when(F.col("_hit"), F.concat(F.lit("Tier 1: Sandwich Rule (bracketed by "), F.col("_p"), F.lit(")"))).otherwise(F.col("reason")),
+            "reason": F.when(F.col("_hit"), F.concat(F.lit(SANDWICH), F.col("_p"), F.lit(")"))).otherwise(F.col("reason")),
             "job": F.when(F.col("_hit"), F.col("_p")).otherwise(F.col("job")),
             "base": F.when(F.col("_hit"), F.col("_pb")).otherwise(F.col("base")),
             "valid": F.when(F.col("_hit"), F.col("_pv")).otherwise(F.col("valid")),
@@ -142,7 +154,7 @@ def inherit_suffix(df: DataFrame) -> DataFrame:
     df = df.withColumn("_left", F.first("_before").over(run))
     take = F.when(F.col("_open"), F.coalesce("_left", "_after"))
     df = df.withColumn("_take", take)
-    df = _adopt(df, F.col("_take").isNotNull(), F.col("_take"), F.col("base"), F.concat(F.lit("Tier 2: Suffix Inheritance (from "), F.col("_take"), F.lit(")")))
+    df = _adopt(df, F.col("_take").isNotNull(), F.col("_take"), F.col("base"), F.concat(F.lit(INHERITED), F.col("_take"), F.lit(")")))
     return df.drop("_open", "_dash", "_start", "_run", "_before", "_after", "_left", "_take")
 
 
@@ -164,7 +176,7 @@ def consensus(df: DataFrame, config: FilingConfig = FilingConfig()) -> DataFrame
     runs = df.where("_target").groupBy("batch", "_run").agg(F.sort_array(F.collect_list(F.struct("_rn", "scan_idx", "_near"))).alias("rows"))
     filled = runs.select("batch", F.explode(F.expr(_fold(config))).alias("f")).select("batch", F.col("f.n").alias("_rn"), F.col("f.job").alias("_take"), F.col("f.base").alias("_tbase"))
     df = df.alias("a").join(filled.alias("b"), F.expr("a.batch <=> b.batch AND a._rn = b._rn"), "left").select("a.*", "_take", "_tbase")
-    df = _adopt(df, F.col("_take").isNotNull(), F.col("_take"), F.col("_tbase"), F.concat(F.lit("Tier 3: Weighted Consensus (adopted "), F.col("_take"), F.lit(")")))
+    df = _adopt(df, F.col("_take").isNotNull(), F.col("_take"), F.col("_tbase"), F.concat(F.lit(CONSENSUS), F.col("_take"), F.lit(")")))
     return df.drop("_rn", "_target", "_me", "_near", "_fresh", "_run", "_take", "_tbase")
 
 
@@ -194,7 +206,7 @@ def _fold(c: FilingConfig) -> str:
 def finish(df: DataFrame) -> DataFrame:
     """Nothing found keeps the raw read; a job without reason was right as read."""
     none = F.coalesce("job", F.lit("")) == ""
-    return df.withColumn("reason", F.when(none, F.lit("no_correction_found")).otherwise(F.coalesce("reason", F.lit("kept: valid")))).withColumn("corrected_job", F.when(none, F.col("raw_job")).otherwise(F.col("job")))
+    return df.withColumn("reason", F.when(none, F.lit(NOTHING_FOUND)).otherwise(F.coalesce("reason", F.lit(KEPT)))).withColumn("corrected_job", F.when(none, F.col("raw_job")).otherwise(F.col("job")))
 
 
 def smart_correct_batch(records: DataFrame, known_jobs: list[str] | None = None, config: FilingConfig = FilingConfig(), validation: ValidationConfig = ValidationConfig(), known: DataFrame | None = None) -> DataFrame:
