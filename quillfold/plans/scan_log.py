@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def logged(name: Column) -> Column:
+    """Names of files (or texts that hold some) as the log has them: six digits of a number."""
+    return F.regexp_replace(name, r"(scan\d{6})\d+", "$1")
+
+
 def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filename has six digits, as in the SQL, and repeats from event 1,000,000 on; file has all, so it is what to join and group by."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
     g = F.floor(F.col("event_id") / 5)
     e = e.withColumn("g", g).withColumn("sfx", 1 + F.col("g") % 20)
@@ -22,11 +28,13 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bought, dashed(99 - F.col("sfx")))
         .otherwise(right)
     )
+    number = F.col("event_id").cast("string")
     return e.select(
         F.floor(F.col("event_id") / 500).alias("batch"),
         F.col("event_id").alias("scan_idx"),
         F.lit(0).cast("long").alias("ordinal"),
-        F.concat(F.lit("scan"), F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit(".pdf")).alias("filename"),
+        F.concat(F.lit("scan"), F.lpad(number, 6, "0"), F.lit(".pdf")).alias("filename"),
+        F.concat(F.lit("scan"), F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number), F.lit(".pdf")).alias("file"),
         right.alias("true_job"),
         raw.alias("raw_job"),
         F.when(F.col("event_type") == "error", 0.0).otherwise((40 + F.col("k") % 60) / 100.0).cast("double").alias("confidence"),
