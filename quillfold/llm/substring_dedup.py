@@ -131,46 +131,61 @@ def _owned(doc: np.ndarray, at: np.ndarray, owners: int) -> list[tuple]:
     return [_row(2, int(owner[i]), b=doc[i:j].tobytes(), c=at[i:j].tobytes()) for i, j in zip(cut.tolist(), np.r_[cut[1:], len(owner)].tolist(), strict=True)]
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each bucket in turn, without it, of batches sorted by bucket: one bucket is held at a time."""
+    now, rows = None, []
+    for batch in batches:
+        bucket = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+        for i, j in zip(cut.tolist(), np.r_[cut[1:], len(bucket)].tolist(), strict=False):
+            if rows and bucket[i] != now:
+                yield rows
+                rows = []
+            now = bucket[i]
+            rows += zip(*(c.slice(i, j - i).to_pylist() for c in batch.columns[1:]), strict=True)
+    if rows:
+        yield rows
+
+
+def _columns(rows: list[tuple], types: Sequence[type]) -> list[np.ndarray]:
+    """Packed rows as one array a column; the rows are let go."""
+    out = [np.frombuffer(b"".join(column), t) for column, t in zip(zip(*rows, strict=True), types, strict=True)]
+    rows.clear()
+    return out
+
+
 def _compare(buckets: int):
-    """Reduce side of a level: what repeats across slices."""
+    """Reduce side of a level: what repeats across slices. Equal windows are in one bucket, so each is settled alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, ats, seconds = [], [], [], []
-        for batch in batches:
-            for a, b, c, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                keys.append(np.frombuffer(a, W.U)), docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
-                seconds.append(np.frombuffer(d, W.U))
-        if not keys:
-            return
-        key, doc, at, second = np.concatenate(keys), np.concatenate(docs), np.concatenate(ats), np.concatenate(seconds)
-        keys.clear(), docs.clear(), ats.clear(), seconds.clear()
+    def repeats(rows: list[tuple]) -> list[tuple]:
+        key, doc, at, second = _columns(rows, (W.U, np.int64, np.uint32, W.U))
         o, same = _sorted(key, second if len(second) else None)
         doc, at = doc[o], at[o]
         known = at >> np.uint32(31) == 1
         keep = (np.r_[False, same] | np.r_[same, False]) & ~known  # known ones were settled where they lie
-        rows = _owned(doc[keep], at[keep], buckets // 2)
-        if rows:
-            yield _rows(rows).select(["bucket", "b", "c"])
+        return _owned(doc[keep], at[keep], buckets // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            if found := repeats(rows):
+                yield _rows(found).select(["bucket", "b", "c"])
 
     return run
 
 
 def _regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All that repeats in each document of one partition's buckets."""
-    docs, ats = [], []
-    for batch in batches:
-        for b, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            docs.append(np.frombuffer(b, np.int64)), ats.append(np.frombuffer(c, np.uint32))
-    if not docs:
-        return
-    doc, at = np.concatenate(docs), np.concatenate(ats) & np.uint32(0x7FFFFFFF)
-    o = np.argsort(doc, kind="stable")
-    doc, at = doc[o], at[o]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    span = list(zip(cut.tolist(), np.r_[cut[1:], len(doc)].tolist(), strict=True))
-    for i in range(0, len(span), 2000):
-        part = span[i : i + 2000]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[[x for x, _ in part]]), pa.array([at[x:y].tobytes() for x, y in part], pa.binary())], names=["doc", "at"])
+    """All that repeats in each document, bucket by bucket: a document has one."""
+    for rows in _by_bucket(batches):
+        doc, at = _columns(rows, (np.int64, np.uint32))
+        at = at & np.uint32(0x7FFFFFFF)
+        o = np.argsort(doc, kind="stable")
+        doc, at = doc[o], at[o]
+        cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        span = list(zip(cut.tolist(), np.r_[cut[1:], len(doc)].tolist(), strict=True))
+        for i in range(0, len(span), 2000):
+            part = span[i : i + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[[x for x, _ in part]]), pa.array([at[x:y].tobytes() for x, y in part], pa.binary())], names=["doc", "at"])
+        del doc, at, o
 
 
 def _first_level(buckets: int):
@@ -299,9 +314,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, carry: Sequence[str] =
 
     def survivors(level: DataFrame) -> tuple[DataFrame, str]:
         posted = level.where("kind = 1").select("bucket", "a", "b", "c", "d")
-        back = posted.repartition(parts, "bucket").mapInArrow(_compare(buckets), _BACK)
+        # several buckets meet in a partition; sorted (Spark spills), they are taken one at a time
+        back = posted.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_compare(buckets), _BACK)
         settled = level.where("kind = 2").select("bucket", "b", "c")
-        return scratch.write(back.unionByName(settled).repartition(parts, "bucket").mapInArrow(_regroup, _LIVE))
+        return scratch.write(back.unionByName(settled).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_regroup, _LIVE))
 
     first, path = scratch.write(read.mapInArrow(_first_level(buckets), _LEVEL), "kind")
     facts = first.where("kind = 0").select("doc", "sig", F.col("a").alias("sig2"), "n", (F.col("bucket") == 1).alias("posted"))

@@ -78,6 +78,39 @@ def test_equal_first_hashes_are_not_enough():
     assert sorted(x for b in back for x in b) == [10, 12]
 
 
+def _read_ahead(reducer, batches):
+    """(outputs, batches read when the first of them came)."""
+    read = []
+    out = reducer(read.append(b) or b for b in batches)
+    first = next(out)
+    at = len(read)
+    return [first, *out], at
+
+
+def test_reduce_side_holds_one_bucket():
+    """A partition's buckets are settled one after another, also where one spans batches or shares one."""
+    post = lambda bucket, key, doc: dedup._row(1, bucket, a=np.array([key], np.uint64).tobytes(), b=np.array([doc], np.int64).tobytes(), c=np.array([doc], np.uint32).tobytes())
+    rows = [[post(0, 8, 10)], [post(0, 8, 11), post(1, 9, 12)], [post(1, 9, 13)], [post(2, 7, 14)], [post(3, 6, 15), post(3, 6, 16)]]
+    out, at = _read_ahead(dedup._compare(8), [dedup._rows(r).select(["bucket", "a", "b", "c", "d"]) for r in rows])
+    assert at == 2
+    assert sorted(x for o in out for b in o.column(1).to_pylist() for x in np.frombuffer(b, np.int64).tolist()) == [10, 11, 12, 13, 15, 16]
+
+
+def test_regrouping_holds_one_bucket():
+    live = lambda bucket, doc, at: dedup._row(2, bucket, b=np.array([doc], np.int64).tobytes(), c=np.array([at], np.uint32).tobytes())
+    rows = [[live(0, 5, 1)], [live(0, 5, 2), live(0, 6, 3), live(3, 7, 4)], [live(3, 7, 5)], [live(3, 8, 1 << 31 | 6)]]
+    out, at = _read_ahead(dedup._regroup, [dedup._rows(r).select(["bucket", "b", "c"]) for r in rows])
+    assert at == 2
+    assert {d: np.frombuffer(a, np.uint32).tolist() for o in out for d, a in zip(o.column(0).to_pylist(), o.column(1).to_pylist(), strict=True)} == {5: [1, 2], 6: [3], 7: [4, 5], 8: [6]}
+
+
+def test_every_passage_in_one_other_text(spark):
+    """Nothing but the odd word stays; many buckets meet in each partition."""
+    rows = [(i, f"left{i} {prose(i, 300)}") for i in range(60)] + [(100 + i, f"{prose(i, 300)} right{i}") for i in range(60)]
+    df = substring_dedup(spark, documents(spark, rows).repartition(8))
+    assert got(df) == brute(rows)
+
+
 def test_texts_are_dealt_once(spark):
     """Joins with survivors use the buckets: the plan of the result shuffles no text."""
     out = substring_dedup(spark, documents(spark))
